@@ -15,10 +15,11 @@ def _doc_id(expr: str) -> str:
     return _ID.format(expr)
 
 
+# Names are the first line of a text, cut at 40 characters.
 FILES = f"""
 SELECT {_doc_id('doc_id')} AS file_id,
- CASE WHEN split_part(text, chr(10), 1) = '' THEN 'Doc ' || CAST(doc_id AS STRING)
-      ELSE substr(split_part(text, chr(10), 1), 1, 40) END AS name,
+ CASE WHEN split_part(substr(text, 1, 40), chr(10), 1) = '' THEN 'Doc ' || CAST(doc_id AS STRING)
+      ELSE split_part(substr(text, 1, 40), chr(10), 1) END AS name,
  CASE doc_id % 10 WHEN 0 THEN 'application/vnd.google-apps.spreadsheet' WHEN 1 THEN 'video/mp4'
   WHEN 2 THEN 'application/pdf' WHEN 3 THEN 'application/octet-stream'
   ELSE 'application/vnd.google-apps.document' END AS mime_type,
@@ -59,7 +60,9 @@ SELECT d.doc_id, {_doc_id('d.doc_id')} AS file_id,
  || '/view?a' || CASE WHEN d.doc_id % 11 = 0 THEN chr(92) || '_b=1' ELSE '=1' END
  || ') or [gone](https://docs.google.com/document/d/absent' || CAST(d.doc_id AS STRING)
  || '/edit), [self](https://docs.google.com/document/d/' || {_doc_id('d.doc_id')}
- || '/edit#top) in <https://drive.google.com/drive/folders/fld' || d.lang || d.source || '> .' AS markdown
+ || '/edit#top) in ' || CASE WHEN d.doc_id % 6 = 0 THEN '<' ELSE '' END
+ || 'https://drive.google.com/drive/folders/fld' || d.lang || d.source
+ || CASE WHEN d.doc_id % 6 = 0 THEN '>' ELSE '' END || ' .' AS markdown
 FROM documents d
 """
 
@@ -86,8 +89,8 @@ SELECT doc_id AS rec_pos,
       WHEN doc_id % 41 = 3 THEN 'https://docs.google.com/spreadsheets/d/' || {_doc_id('doc_id')} || '/edit'
       WHEN doc_id % 43 = 3 THEN 'https://example.org/' || CAST(doc_id AS STRING)
       ELSE 'https://docs.google.com/document/d/' || {_doc_id('doc_id')} || '/edit' END AS link,
- CASE WHEN split_part(text, chr(10), 1) = '' THEN 'Doc ' || CAST(doc_id AS STRING)
-      ELSE substr(split_part(text, chr(10), 1), 1, 40) END AS title,
+ CASE WHEN split_part(substr(text, 1, 40), chr(10), 1) = '' THEN 'Doc ' || CAST(doc_id AS STRING)
+      ELSE split_part(substr(text, 1, 40), chr(10), 1) END AS title,
  lang || '; ' || source || CASE WHEN doc_id % 4 = 0 THEN ';;' ELSE '' END AS tags,
  lang AS frag1, source AS frag2,
  CASE WHEN doc_id % 3 = 0 THEN 'Deep  Dive: ' || lang ELSE '' END AS frag3,
@@ -141,11 +144,22 @@ class Fixtures:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
+        self.kept: dict[str, DataFrame] = {}
         self.tables = {
             name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in _TABLES
         }
 
+    def kept_as_tables(self, folder: str, partitions: int) -> "Fixtures":
+        """The same views written as tables, the way a corpus is usually stored."""
+        for name in VIEWS:
+            path = f"{folder}/{name}"
+            self._view(name).repartition(partitions).write.parquet(path)
+            self.kept[name] = self.spark.read.parquet(path)
+        return self
+
     def _view(self, name: str) -> DataFrame:
+        if name in self.kept:
+            return self.kept[name]
         sql = VIEWS[name]
         for table in _TABLES:
             sql = sql.replace(f"FROM {table}", f"FROM {{{table}}}")

@@ -29,29 +29,29 @@ _DRIVE_URL = (
 _PATH = r"\A[^/]*+//[^/?#]*+([^?#]*+)"
 _QUERY = r"\A[^?#]*+\?([^#]*+)"
 _ID_IN_PATH = r"/(?:d/e|d|folders)/([^/]*)"
+_ID_IN_URL = r"\A[^/]*+//[^/?#]*+[^?#]*?/(?:d/e|d|folders)/([^/?#]*)"
 _ID_IN_QUERY = rf"(?:\A|&)id(?:=((?:[^&;%]|{_HEX})*))?(?:&|\z)"
 _BARE_ID = r"[-\w]{25,}"
 
 
-def _unescape_percent(col: Column, plus_is_space: bool) -> Column:
-    encoded = col if plus_is_space else F.replace(col, F.lit("+"), F.lit("%2B"))
-    escapes = col.rlike("[%+]") if plus_is_space else col.contains("%")
-    return F.when(escapes, F.try_url_decode(encoded)).otherwise(col)
-
-
 def file_id(url: Column) -> Column:
     """File ID named by a drive URL; null when there is none.
 
     The ID segment of the path wins, then ``?id=``, then the first run of 25 or
     more ID characters. An empty ID segment gives ``''``, which is not null.
+    URLs without %-escapes, nearly all, need no decoding and take two matches.
     """
-    path = _unescape_percent(F.regexp_extract(url, _PATH, 1), plus_is_space=False)
+    literal_plus = F.replace(F.regexp_extract(url, _PATH, 1), F.lit("+"), F.lit("%2B"))
+    in_path = F.when(
+        url.contains("%"),
+        first_match(F.try_url_decode(literal_plus), _ID_IN_PATH, 1),
+    ).otherwise(first_match(url, _ID_IN_URL, 1))
     in_query = first_match(F.regexp_extract(url, _QUERY, 1), _ID_IN_QUERY, 1)
     return F.when(
         url.rlike(_DRIVE_URL),
         F.coalesce(
-            first_match(path, _ID_IN_PATH, 1),
-            F.nullif(_unescape_percent(in_query, plus_is_space=True), F.lit("")),
+            in_path,
+            F.nullif(F.try_url_decode(in_query), F.lit("")),
             first_match(url, _BARE_ID),
         ),
     )
@@ -74,9 +74,11 @@ def canonical_link(id_col: Column, mime_type: Column) -> Column:
 
 # Quantifiers are possessive throughout: each run of characters can end in one
 # place only, so matching stays linear and needs no backtracking stack even on
-# long runs of blanks or backslashes.
+# long runs of blanks or backslashes. Patterns begin with literal text where
+# they can, which lets the search skip ahead.
 _BROKEN_URL = (
-    rf"({URL_HEAD}[^{WS}*_]++)[*_]*+(?=[\t\f\r ]*+\n)[{WS}]++[*_]*+([^{WS}*_]++)[*_]*+"
+    r"https://((?:drive\.google\.com|docs\.google\.com)/"
+    rf"[^{WS}*_]++)[*_]*+(?=[\t\f\r ]*+\n)[{WS}]++[*_]*+([^{WS}*_]++)[*_]*+"
 )
 _ESCAPED_CHAR = (
     rf"({URL_HEAD}|\G(?!\A))((?:[^{WS}\\]++|\\(?![_*\-\[\]]))*+)\\([_*\-\[\]])"
@@ -92,8 +94,9 @@ def mentions_drive(text: Column) -> Column:
 
 def repair_urls(text: Column) -> Column:
     """Join drive URLs broken over two lines, then drop Markdown escapes in them."""
-    joined = F.regexp_replace(text, _BROKEN_URL, "$1$2")
-    return F.regexp_replace(joined, _ESCAPED_CHAR, "$1$2$3")
+    joined = F.regexp_replace(text, _BROKEN_URL, "https://$1$2")
+    unescaped = F.regexp_replace(joined, _ESCAPED_CHAR, "$1$2$3")
+    return F.when(text.contains("\\"), unescaped).otherwise(joined)
 
 
 URL_IN_TEXT = rf"{URL_HEAD}[^{WS})]+"

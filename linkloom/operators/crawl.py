@@ -135,7 +135,7 @@ def _best(rounds: list[DataFrame]) -> DataFrame:
 
 def crawl_edges(run: RunFolder, files: DataFrame, contents: DataFrame) -> DataFrame:
     """The link graph, kept bucketed by source document."""
-    edges = document_links(contents, files).select("src", "dst", "pos", "url")
+    edges = document_links(contents, files, run.partitions)
     return run.keep_bucketed(edges, "edges", "src")
 
 

@@ -33,8 +33,8 @@ def link_index(inventory: DataFrame) -> DataFrame:
     names no file is found by its link only.
     """
     records = inventory if "dirs" in inventory.columns else with_placement(inventory)
-    keys = F.array_compact(F.array("link", "record_id"))
-    keyed = records.select(F.explode(keys).alias("key"), *_RECORD)
+    keys = F.explode(F.array("link", "record_id"))
+    keyed = records.select(keys.alias("key"), *_RECORD).filter("key IS NOT NULL")
     return latest_per_key(keyed, "key", "rec_pos", _RECORD)
 
 
@@ -61,8 +61,9 @@ def resolve_targets(
     overrides: DataFrame | None = None,
     url: str = "url",
     target_id: str = "dst",
+    fields=_RECORD,
 ) -> DataFrame:
-    """Add ``target``: the record a link leads to, or null.
+    """Add ``target``: ``fields`` of the record a link leads to, or null.
 
     A record with exactly this URL comes first, then one with the same file ID.
     Whether either lookup is broadcast is left to Spark, by its size; pass
@@ -72,10 +73,8 @@ def resolve_targets(
     """
     if overrides is None:
         overrides = url_overrides(index)
-    exact = overrides.select(
-        F.col("key").alias(url), F.struct(*_RECORD).alias("_exact")
-    )
-    by_id = index.select(F.col("key").alias("_id"), F.struct(*_RECORD).alias("_by_id"))
+    exact = overrides.select(F.col("key").alias(url), F.struct(*fields).alias("_exact"))
+    by_id = index.select(F.col("key").alias("_id"), F.struct(*fields).alias("_by_id"))
     return (
         links.withColumn("_id", F.coalesce(target_id, url))
         .join(exact, url, "left")

@@ -1,6 +1,6 @@
 """Links found in document texts."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.access import is_link_source
@@ -24,17 +24,52 @@ def extract_links(contents: DataFrame, repair: bool = True) -> DataFrame:
     Texts are reduced to their URLs where they are scanned; only those rows
     travel further.
     """
+    return _edges(_urls_by_document(contents, repair))
+
+
+def document_links(
+    contents: DataFrame, files: DataFrame, partitions: int | None = None
+) -> DataFrame:
+    """``extract_links`` for the documents that are searched for links.
+
+    With ``partitions`` the result is hash-partitioned by ``src``: documents
+    are placed once, as one row each, before the join and before their URLs
+    are spread out.
+    """
+    found = _urls_by_document(contents)
+    if partitions is not None:
+        found = found.repartition(partitions, "src")
+    sources = link_sources(files).withColumnRenamed("file_id", "src")
+    return _edges(found.join(sources, "src", "left_semi"))
+
+
+def _urls_by_document(contents: DataFrame, repair: bool = True) -> DataFrame:
     text = F.col("markdown")
     urls = urls_in_text(repair_urls(text) if repair else text)
+    return contents.filter(mentions_drive(text)).select(
+        F.col("file_id").alias("src"), urls.alias("urls")
+    )
+
+
+def _edges(found: DataFrame) -> DataFrame:
     return (
-        contents.filter(mentions_drive(text))
-        .select(F.col("file_id").alias("src"), F.posexplode(urls).alias("pos", "url"))
-        .withColumn("dst", file_id(F.col("url")))
+        spread_urls(found, "src")
+        .select("src", "pos", "url", once(file_id(F.col("url"))).alias("dst"))
         .filter(F.col("dst").isNotNull() & (F.col("dst") != F.col("src")))
     )
 
 
-def document_links(contents: DataFrame, files: DataFrame) -> DataFrame:
-    """``extract_links`` for the documents that are searched for links."""
-    sources = link_sources(files).withColumnRenamed("file_id", "src")
-    return extract_links(contents).join(sources, "src", "left_semi")
+def spread_urls(found: DataFrame, key: str) -> DataFrame:
+    """One row per URL of ``urls``, with its position.
+
+    The outer form is used because Spark guards the plain one with a filter on
+    the array, which would search every text again.
+    """
+    return found.select(key, F.posexplode_outer("urls").alias("pos", "url")).filter(
+        F.col("url").isNotNull()
+    )
+
+
+def once(expr: Column) -> Column:
+    """Keep an expression from being repeated in the filters that use it."""
+    return F.explode(F.array(expr))

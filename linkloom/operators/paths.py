@@ -22,7 +22,8 @@ def unique_paths(plan: DataFrame, order: str = "rec_pos") -> DataFrame:
     rows (titles without Latin letters all get one name), so rows are numbered
     per path *and* block of consecutive positions, which bounds every window
     group, and the blocks of a path are put behind one another by their row
-    counts. Only those counts meet in one group.
+    counts. Only those counts meet in one group. The plan is read twice, so it
+    should be a table rather than a long query.
     """
     rows = plan.withColumn(
         "_block", F.floor(F.col(order) / POSITIONS_PER_BLOCK).cast("long")

@@ -19,6 +19,7 @@ from linkloom.functions.urls import (
     text_between_links,
 )
 from linkloom.operators.inventory import resolve_targets
+from linkloom.operators.links import spread_urls
 
 
 def _repaired(repair: bool) -> Column:
@@ -38,9 +39,7 @@ def markdown_links(
     )
     if only is not None:
         found = found.join(only, "file_id", "left_semi")
-    return found.select("file_id", F.posexplode("urls").alias("pos", "url")).withColumn(
-        "dst", file_id(F.col("url"))
-    )
+    return spread_urls(found, "file_id").withColumn("dst", file_id(F.col("url")))
 
 
 def link_targets(
@@ -53,7 +52,7 @@ def link_targets(
     """
     entry = F.struct("pos", F.col("target.dirs"), F.col("target.file_name"))
     return (
-        resolve_targets(links, index, overrides)
+        resolve_targets(links, index, overrides, fields=("dirs", "file_name"))
         .groupBy("file_id")
         .agg(F.array_sort(F.collect_list(entry)).alias("targets"))
     )

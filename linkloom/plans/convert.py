@@ -26,11 +26,23 @@ def file_facts(files: DataFrame, contents: DataFrame) -> DataFrame:
     return files.select(*METADATA).join(present, "file_id", "left")
 
 
-def _plan(records: DataFrame, facts: DataFrame, base: str, spread: Spread) -> DataFrame:
-    routed = require_content(route_documents(attach_metadata(records, facts, spread)))
+def _planned(
+    run: RunFolder,
+    inventory: DataFrame,
+    files: DataFrame,
+    contents: DataFrame,
+    base: str,
+) -> tuple[DataFrame, DataFrame, Spread]:
+    records = run.keep(with_placement(inventory), "records")
+    named = records.withColumnRenamed("record_id", "file_id")
+    spread = measure_spread(named, "file_id")
+    known = attach_metadata(named, file_facts(files, contents), spread)
+    routed = run.keep(
+        plan_paths(require_content(route_documents(known)), base), "routed"
+    )
     ok = F.col("route") != "error"
-    placed = unique_paths(plan_paths(routed.filter(ok), base))
-    return placed.unionByName(routed.filter(~ok), allowMissingColumns=True)
+    failed = routed.filter(~ok).withColumn("path", F.lit(None).cast("string"))
+    return records, unique_paths(routed.filter(ok)).unionByName(failed), spread
 
 
 def plan_conversion(
@@ -40,9 +52,8 @@ def plan_conversion(
 
     Records that fail take no path.
     """
-    records = with_placement(inventory).withColumnRenamed("record_id", "file_id")
-    spread = measure_spread(records, "file_id")
-    return _plan(records, file_facts(files, contents), base, spread)
+    run = RunFolder(inventory.sparkSession, "plan")
+    return _planned(run, inventory, files, contents, base)[1]
 
 
 def convert(
@@ -60,17 +71,17 @@ def convert(
     ``link_to_unique`` makes links follow the collision suffixes of paths.
     """
     run = RunFolder(inventory.sparkSession, "convert")
-    records = with_placement(inventory).withColumnRenamed("record_id", "file_id")
-    spread = measure_spread(records, "file_id")
-    plan = run.keep(_plan(records, file_facts(files, contents), base, spread), "plan")
+    records, plan, spread = _planned(run, inventory, files, contents, base)
+    plan = run.keep(plan, "plan")
 
-    targets = plan.withColumnRenamed("file_id", "record_id")
     if link_to_unique:
         unique_name = F.coalesce(
             F.substring_index("path", "/", -1), F.col("file_name")
         )
-        targets = targets.withColumn("file_name", unique_name)
-    index = run.keep(link_index(targets), "index")
+        records = plan.withColumnRenamed("file_id", "record_id").withColumn(
+            "file_name", unique_name
+        )
+    index = run.keep(link_index(records), "index")
     overrides = run.keep(url_overrides(index), "overrides")
 
     has_text = F.col("route").isin("export", "convert")

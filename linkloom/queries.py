@@ -82,7 +82,14 @@ def output_paths(fx: Fixtures) -> DataFrame:
 
 
 def unique_paths(fx: Fixtures) -> DataFrame:
-    return paths.unique_paths(_planned(fx)).select("rec_pos", "path")
+    planned = _planned(fx).select("rec_pos", "path")
+    return paths.unique_paths(RunFolder(fx.spark, "paths").keep(planned, "planned"))
+
+
+def _kept_index(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
+    run = RunFolder(fx.spark, "index")
+    index = run.keep(inventory.link_index(fx.inventory), "index")
+    return index, run.keep(inventory.url_overrides(index), "overrides")
 
 
 def link_index(fx: Fixtures) -> DataFrame:
@@ -91,21 +98,21 @@ def link_index(fx: Fixtures) -> DataFrame:
     )
 
 
-def _resolved(fx: Fixtures, index: DataFrame) -> DataFrame:
-    return inventory.resolve_targets(rewrite.markdown_links(fx.contents), index)
-
-
 def resolved_links(fx: Fixtures) -> DataFrame:
-    found = _resolved(fx, inventory.link_index(fx.inventory))
+    found = inventory.resolve_targets(
+        rewrite.markdown_links(fx.contents), *_kept_index(fx), fields=("rec_pos",)
+    )
     return found.select("file_id", "pos", "url", "dst", F.col("target.rec_pos").alias("rec_pos"))
 
 
 def relative_paths(fx: Fixtures) -> DataFrame:
-    index = inventory.link_index(fx.inventory)
+    index, overrides = _kept_index(fx)
     sources = index.select(F.col("key").alias("file_id"), F.col("dirs").alias("source_dirs"))
+    found = inventory.resolve_targets(
+        rewrite.markdown_links(fx.contents), index, overrides, fields=("dirs", "file_name")
+    )
     pairs = (
-        _resolved(fx, index)
-        .filter(F.col("target").isNotNull())
+        found.filter(F.col("target").isNotNull())
         .select(
             "file_id",
             "pos",
@@ -118,9 +125,9 @@ def relative_paths(fx: Fixtures) -> DataFrame:
 
 
 def rewritten_docs(fx: Fixtures) -> DataFrame:
-    index = inventory.link_index(fx.inventory)
+    index, overrides = _kept_index(fx)
     sources = index.select(F.col("key").alias("file_id"), "dirs")
-    targets = rewrite.link_targets(rewrite.markdown_links(fx.contents), index)
+    targets = rewrite.link_targets(rewrite.markdown_links(fx.contents), index, overrides)
     docs = (
         sources.join(targets, "file_id", "left")
         .join(fx.contents.select("file_id", "markdown"), "file_id")
@@ -225,6 +232,10 @@ _QUERIES = (
 )
 
 
+def over_views() -> dict[str, Callable[[Fixtures], DataFrame]]:
+    return {query.__name__: query for query in _QUERIES}
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def over(query):
         return lambda spark, sf_dir: query(Fixtures(spark, sf_dir))

@@ -48,7 +48,10 @@ def _rows(spark: SparkSession, path: str, width: int, multi_line: bool) -> DataF
 def rejected_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """The raw rows of a CSV file whose field count differs from the header's."""
     rows = _rows(spark, path, len(_header(spark, path)), multi_line)
-    return rows.filter(F.col(_BAD).isNotNull()).select(F.col(_BAD).alias("row"))
+    # Spark refuses to read raw rows alone, so the first field is read as well.
+    also_read = F.length(F.coalesce("c0", F.lit(""))) >= 0
+    bad = rows.filter(F.col(_BAD).isNotNull() & also_read)
+    return bad.select(F.col(_BAD).alias("row"))
 
 
 def read_seeds(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -75,7 +78,8 @@ def read_inventory(spark: SparkSession, path: str, multi_line: bool = True) -> D
     ``link`` and ``title`` are required and rows without them are dropped;
     missing optional columns are empty.
     """
-    position = {name.lower(): i for i, name in enumerate(_header(spark, path))}
+    header = _header(spark, path)
+    position = {name.lower(): i for i, name in enumerate(header)}
     for required in ("link", "title"):
         if required not in position:
             raise ValueError(f"required column '{required}' not found in {path}")
@@ -85,9 +89,8 @@ def read_inventory(spark: SparkSession, path: str, multi_line: bool = True) -> D
             return F.lit("").alias(name)
         return blank_if_null(F.col(f"c{position[name]}")).alias(name)
 
-    width = len(_header(spark, path))
     return (
-        _rows(spark, path, width, multi_line)
+        _rows(spark, path, len(header), multi_line)
         .select(
             F.monotonically_increasing_id().alias("rec_pos"),
             *(column(n) for n in ("link", "title", "tags", *FRAGMENT_COLUMNS)),

@@ -29,22 +29,21 @@ def write_document_table(documents: DataFrame, path: str, mode: str = "overwrite
 def write_markdown_tree(documents: DataFrame, directory: str = "") -> int:
     """Write one file per document and return how many were written.
 
-    Paths are taken as they are, below ``directory`` when it is given; that
-    place must be visible to every executor. A file is written under another
-    name and then moved, so a task that is run again leaves whole files only.
+    Paths lie below ``directory`` (a path or a URI), when it is given; that place
+    must be visible to every executor. A file is written under another name and
+    then moved, so a task that is run again leaves whole files only.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        root = directory.rstrip("/") + "/" if directory else ""
+        if "://" in directory:
+            system, root = fs.FileSystem.from_uri(directory)
+        else:
+            system, root = fs.LocalFileSystem(), directory
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                target = root + path.as_py()
-                if "://" in target:
-                    system, target = fs.FileSystem.from_uri(target)
-                else:
-                    system = fs.LocalFileSystem()
+                target = f"{root.rstrip('/')}/{path.as_py()}" if root else path.as_py()
                 if "/" in target:
                     system.create_dir(target.rpartition("/")[0], recursive=True)
                 part = f"{target}.{uuid.uuid4().hex}.part"

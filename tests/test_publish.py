@@ -1,0 +1,435 @@
+"""Inventory lookups, link rewriting, conversion and synchronisation."""
+
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from linkloom import convert, sync
+from linkloom.operators import inventory, publish, rewrite, skew
+from linkloom.operators.summaries import convert_summary, sync_summary
+from linkloom.plans.convert import plan_conversion
+
+DOC = "application/vnd.google-apps.document"
+FILES = "file_id string, mime_type string, modified_time string, http_status int"
+RECORDS = (
+    "rec_pos long, link string, title string, tags string, frag1 string, "
+    "frag2 string, frag3 string, frag4 string, frag5 string"
+)
+
+
+def url(file_id, form="document"):
+    return f"https://docs.google.com/{form}/d/{file_id}/edit"
+
+
+def view(file_id):
+    return f"https://drive.google.com/file/d/{file_id}/view"
+
+
+def records(spark, *rows):
+    """Rows of ``(link, title, tags, fragments...)`` in inventory order."""
+    full = [
+        (i, link, title, tags, *(list(frags) + [""] * 5)[:5])
+        for i, (link, title, tags, *frags) in enumerate(rows)
+    ]
+    return spark.createDataFrame(full, RECORDS)
+
+
+def files(spark, *rows):
+    return spark.createDataFrame(list(rows), FILES)
+
+
+def contents(spark, **texts):
+    return spark.createDataFrame(list(texts.items()), "file_id string, markdown string")
+
+
+def test_later_records_replace_earlier_ones(spark):
+    index = inventory.link_index(
+        records(
+            spark,
+            (url("a"), "one", ""),
+            (view("a"), "two", ""),
+            (url("a"), "three", ""),
+            ("https://example.org/", "four", ""),
+            ("a", "five", ""),
+        )
+    )
+    assert {(r.key, r.title) for r in index.collect()} == {
+        (url("a"), "three"),
+        (view("a"), "two"),
+        ("a", "five"),
+        ("https://example.org/", "four"),
+    }
+
+
+def test_exact_url_beats_file_id(spark):
+    index = inventory.link_index(
+        records(spark, (url("a"), "early", ""), (view("a"), "late", ""), (url("b"), "b", ""))
+    )
+    links = spark.createDataFrame(
+        [
+            (url("a"), "a"),
+            (view("a"), "a"),
+            (url("a") + "#x", "a"),
+            (view("b"), "b"),
+            (url("c"), "c"),
+            ("odd", None),
+        ],
+        "url string, dst string",
+    )
+    got = inventory.resolve_targets(links, index).select("url", "target.title").collect()
+    assert {tuple(r) for r in got} == {
+        (url("a"), "early"),
+        (view("a"), "late"),
+        (url("a") + "#x", "late"),
+        (view("b"), "b"),
+        (url("c"), None),
+        ("odd", None),
+    }
+
+
+ROUTES = [
+    ("https://example.org/x", None, None, "error"),
+    (url("f", "forms"), None, 200, "stub_url"),
+    (url("f", "spreadsheets"), "image/png", 404, "stub_url"),
+    (url("f", "presentation"), DOC, 200, "stub_url"),
+    (url("f"), None, None, "error"),
+    (url("f"), DOC, 403, "error"),
+    (url("f"), "video/mp4", 200, "stub_mime"),
+    (url("f"), "audio/ogg", 200, "stub_mime"),
+    (url("f"), "image/gif", 200, "stub_mime"),
+    (url("f"), "application/vnd.google-apps.presentation", 200, "stub_mime"),
+    (url("f"), "application/vnd.google-apps.spreadsheet", 200, "stub_mime"),
+    (url("f"), "application/vnd.openxmlformats-officedocument.presentationml.presentation", 200, "stub_mime"),
+    (url("f"), "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", 200, "stub_mime"),
+    (url("f"), DOC, 200, "export"),
+    (url("f"), "application/vnd.google-apps.folder", 200, "export"),
+    (url("f"), "application/pdf", 200, "convert"),
+    (url("f"), "application/vnd.openxmlformats-officedocument.wordprocessingml.document", 200, "convert"),
+    (url("f"), "text/plain", 200, "error"),
+]
+
+
+def test_routes(spark):
+    rows = [
+        (i, link, "T", None if "example" in link else "f", mime, status)
+        for i, (link, mime, status, _) in enumerate(ROUTES)
+    ]
+    df = spark.createDataFrame(
+        rows,
+        "n int, link string, title string, file_id string, mime_type string, http_status int",
+    )
+    got = publish.document_kind(publish.route_documents(df)).orderBy("n").collect()
+    assert [r.route for r in got] == [r[3] for r in ROUTES]
+    assert [r.kind for r in got if r.kind] == [
+        "Google Form",
+        "Google Sheet",
+        "Google Presentation",
+        "video file",
+        "audio file",
+        "image file",
+        "Google Presentation",
+        "Google Sheet",
+        "PowerPoint presentation",
+        "Excel spreadsheet",
+    ]
+    assert [r.error for r in got if r.error] == [
+        "failed to extract file ID from https://example.org/x",
+        "failed to get metadata for f",
+        "failed to get metadata for f",
+        "unsupported file type text/plain for T",
+    ]
+
+
+def rewritten(spark, text, listed, repair=True):
+    index = inventory.link_index(listed)
+    texts = contents(spark, src=text)
+    links = rewrite.markdown_links(texts, repair=repair)
+    docs = (
+        texts.join(rewrite.link_targets(links, index), "file_id", "left")
+        .withColumn("dirs", F.array(F.lit("x"), F.lit("y")))
+    )
+    return rewrite.rewritten_text(docs, repair).first().text
+
+
+def test_rewrite(spark):
+    listed = records(
+        spark,
+        (url("a"), "Alpha One", "", "x", "z"),
+        (view("b"), "Beta", "", "x", "y"),
+        (url("src"), "Me", "", "x", "y"),
+    )
+    cases = {
+        "no links": "no links",
+        "": "",
+        f"[t]({url('a')})": "[t](../z/alpha-one.md)",
+        f"[t]({url('a')}?q=1#frag) end": "[t](../z/alpha-one.md) end",
+        f"[self]({url('src')})[b]({url('b')})": "[self](me.md)[b](beta.md)",
+        f"[no]({url('zz')}) [a]({view('a')})": f"[no]({url('zz')}) [a](../z/alpha-one.md)",
+        f"bare {url('a')} stays": f"bare {url('a')} stays",
+        f"[[x]({url('a')})": "[[x](../z/alpha-one.md)",
+        f"[two\nlines]({url('a')})": "[two\nlines](../z/alpha-one.md)",
+        f"[](%s) [t] ({url('a')})" % url("a"): f"[]({url('a')}) [t] ({url('a')})",
+        f"![img]({url('a')} \"tip\")": "![img](../z/alpha-one.md)",
+        f"[a]({url('a')})\n[b]({url('b')})": "[a](../z/alpha-one.md)[b](beta.md)".replace(")[b", ")[b"),
+        "$1 \\0 [d](https://docs.google.com/none)": "$1 \\0 [d](https://docs.google.com/none)",
+    }
+    for text, expected in cases.items():
+        assert rewritten(spark, text, listed) == expected, text
+
+
+def test_rewrite_without_repair(spark):
+    listed = records(spark, (url("a"), "A", "", "x", "y"))
+    text = f"[a]({url('a')})\n\nNext"
+    assert rewritten(spark, text, listed) == "[a](a.md)Next"
+    assert rewritten(spark, text, listed, repair=False) == "[a](a.md)\n\nNext"
+
+
+def corpus(spark):
+    listed = records(
+        spark,
+        (url("a"), "Same", "t1; t2", "g"),
+        (url("b"), "Same", "", "g"),
+        (url("f", "forms"), "Same", "", "g"),
+        ("https://example.org/n", "Same", "", "g"),
+        (url("v"), "Clip: x", "", "h"),
+        (url("p"), "Paper", "", "h"),
+        (url("em"), "Empty", "", "h"),
+        (url("a"), "Same", "t3", "g"),
+    )
+    metadata = files(
+        spark,
+        ("a", DOC, "T-a", 200),
+        ("b", DOC, "T-b", 200),
+        ("v", "video/mp4", "T-v", 200),
+        ("p", "application/pdf", "T-p", 200),
+        ("em", DOC, "T-em", 200),
+    )
+    texts = contents(
+        spark,
+        a=f"To [b]({url('b')}) and [v]({url('v')}).",
+        b=f"To [a]({url('a')}) and [q]({url('q')}).",
+        p="Paper text",
+    )
+    return listed, metadata, texts
+
+
+def by_position(df):
+    return {r.rec_pos: r for r in df.collect()}
+
+
+def test_convert(spark):
+    got = by_position(convert(*corpus(spark), base="./out"))
+    assert {n: (r.route, r.path) for n, r in got.items()} == {
+        0: ("export", "out/g/same.md"),
+        1: ("export", "out/g/same_1.md"),
+        2: ("stub_url", "out/g/same_2.md"),
+        3: ("error", None),
+        4: ("stub_mime", "out/h/clip-x.md"),
+        5: ("convert", "out/h/paper.md"),
+        6: ("error", None),
+        7: ("export", "out/g/same_3.md"),
+    }
+    body = f"> Link: {url('a')}\n\nTo [b](same.md) and [v](../h/clip-x.md)."
+    digest = hashlib.sha256(body.encode()).hexdigest()
+    assert got[0].content == (
+        f'---\ndescription: Same\neditor: markdown\ngdrive-link: "{url("a")}"\n'
+        f"hash-gdrive: T-a\nhash-content: {digest}\npublished: true\n"
+        f"tags: t1, t2\ntitle: Same\n---\n\n{body}"
+    )
+    assert got[2].content.endswith(
+        f"> Link: {url('f', 'forms')}\n\n*This is a Google Form. This document type "
+        "cannot be exported to markdown format.*"
+    )
+    assert "hash-gdrive: stub\n" in got[2].content
+    assert got[4].content.endswith(
+        "*This is a video file (video/mp4). Media files cannot be exported to markdown format.*"
+    )
+    assert 'title: "Clip: x"\n' in got[4].content
+    assert got[3].error == "failed to extract file ID from https://example.org/n"
+    assert got[6].error == "failed to export Empty as markdown"
+    assert got[3].content is None and got[6].content is None
+
+
+def test_links_follow_collision_suffixes_on_request(spark):
+    got = by_position(convert(*corpus(spark), base="out", link_to_unique=True))
+    # the last record of a link is the one that links lead to
+    assert "To [a](same_3.md)" in got[1].content
+    assert "To [b](same_1.md)" in got[0].content
+
+
+def test_dry_run_equals_conversion(spark):
+    planned = by_position(plan_conversion(*corpus(spark), base="out"))
+    written = by_position(convert(*corpus(spark), base="out"))
+    for n, row in written.items():
+        assert (row.route, row.error, row.path) == (
+            planned[n].route,
+            planned[n].error,
+            planned[n].path,
+        )
+
+
+def test_convert_summary(spark):
+    row = convert_summary(convert(*corpus(spark))).first()
+    assert (row.records, row.errors, row.failed) == (8, 2, True)
+
+
+@pytest.mark.parametrize("max_keys", [10_000, 0])
+def test_hot_file_gives_the_same_documents(spark, monkeypatch, max_keys):
+    """A third of the inventory names one file; slices must change nothing."""
+    rng = random.Random(5)
+    rows = [
+        (url("hot" if i % 3 == 0 else f"d{rng.randrange(30)}"), f"T{i % 7}", "", f"g{i % 4}")
+        for i in range(180)
+    ]
+    ids = ["hot"] + [f"d{i}" for i in range(30)]
+    listed = records(spark, *rows)
+    metadata = files(spark, *((i, DOC, f"T-{i}", 200) for i in ids))
+    texts = contents(spark, **{i: f"to [h]({url('hot')}) [x]({url('d1')})" for i in ids})
+    plain = by_position(convert(listed, metadata, texts))
+    monkeypatch.setattr(skew, "MAX_BROADCAST_KEYS", max_keys)
+    monkeypatch.setattr(skew.measure_spread, "__defaults__", (8,))
+    sliced = convert(listed, metadata, texts)
+    assert "_slice" in sliced._jdf.queryExecution().optimizedPlan().toString()
+    assert by_position(sliced) == plain
+    assert len(plain) == 180
+
+
+def spread_sizes(spark, rows_per_slice):
+    many = spark.range(0, 3000).selectExpr(
+        "id AS rec_pos", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id AS string) END AS file_id"
+    )
+    spread = skew.measure_spread(many, "file_id", rows_per_slice)
+    return spread.slice_rows(many, "rec_pos").groupBy(*spread.keys).count()
+
+
+def test_slices_bound_the_groups(spark):
+    whole = spread_sizes(spark, 5000).agg(F.max("count")).first()[0]
+    sliced = spread_sizes(spark, 100)
+    assert whole == 1000
+    assert sliced.agg(F.max("count"), F.sum("count")).first()[0] < 200
+    assert sliced.agg(F.sum("count")).first()[0] == 3000
+
+
+def page(link=None, revision=None, title="T", body="old"):
+    lines = ["description: D: x", "editor: markdown"]
+    lines += [f'gdrive-link: "{link}"'] if link is not None else []
+    lines += [f'hash-gdrive: "{revision}"'] if revision is not None else []
+    lines += ["hash-content: old", "published: true", f"title: {title}", "extra: lost"]
+    return "---\n" + "\n".join(lines) + "\n---\n\n" + body
+
+
+def synced(spark, **pages):
+    listed = records(spark, (url("a"), "A", "", "g"), (url("b"), "B", "", "h"))
+    metadata = files(
+        spark,
+        ("a", DOC, "new", 200),
+        ("b", DOC, "new", 200),
+        ("gone", DOC, "new", 404),
+        ("pdf", "application/pdf", "new", 200),
+        ("bare", DOC, "new", 200),
+        ("unlisted", DOC, "new", 200),
+    )
+    texts = contents(
+        spark,
+        a=f"to [b]({view('b')}) and [z]({url('z')})",
+        b="B",
+        pdf="P",
+        unlisted="U",
+    )
+    tree = spark.createDataFrame(
+        [(f"{k}.md", v) for k, v in pages.items()], "path string, content string"
+    )
+    result = sync(tree, listed, metadata, texts)
+    return {r.file_path.removesuffix(".md"): r for r in result.collect()}, result
+
+
+def test_sync_decisions(spark):
+    got, result = synced(
+        spark,
+        unreadable=None,
+        plain="text",
+        no_hash=page(url("a")),
+        stub=page(url("a"), "stub"),
+        stub_without_link=page(None, "stub"),
+        no_link=page(None, "old"),
+        bad_link=page("https://example.org", "old"),
+        gone=page(url("gone"), "old"),
+        same=page(url("a"), "new"),
+        same_unlisted=page(url("unlisted"), "new"),
+        pdf=page(url("pdf"), "old"),
+        same_pdf=page(url("pdf"), "new"),
+        bare=page(url("bare"), "old"),
+        unlisted=page(url("unlisted"), "old"),
+        changed=page(url("a"), "newer than new"),
+        empty_hash=page(url("b"), ""),
+    )
+    assert {k: (r.status, r.error, r.old_hash, r.new_hash) for k, r in got.items()} == {
+        "unreadable": ("error", "failed to read file", "", ""),
+        "plain": ("error", "failed to parse frontmatter: no frontmatter found", "", ""),
+        "no_hash": ("skipped", "no hash-gdrive field found", "", ""),
+        "stub": ("skipped", None, "", ""),
+        "stub_without_link": ("skipped", None, "", ""),
+        "no_link": ("skipped", "no gdrive-link field found", "", ""),
+        "bad_link": ("error", "failed to extract file ID", "old", ""),
+        "gone": ("error", "failed to get file metadata", "old", ""),
+        "same": ("unchanged", None, "new", "new"),
+        "same_unlisted": ("unchanged", None, "new", "new"),
+        "pdf": (
+            "error",
+            "failed to export document: unsupported MIME type: application/pdf",
+            "old",
+            "new",
+        ),
+        "same_pdf": ("unchanged", None, "new", "new"),
+        "bare": ("error", "failed to export document", "old", "new"),
+        "unlisted": ("error", "record not found in link map", "old", "new"),
+        "changed": ("updated", None, "newer than new", "new"),
+        "empty_hash": ("updated", None, "", "new"),
+    }
+    assert {k for k, r in got.items() if r.content is not None} == {"changed", "empty_hash"}
+    row = sync_summary(result).first()
+    assert row.asDict() == {
+        "updated": 2, "unchanged": 3, "skipped": 4, "errors": 7, "failed": True,
+    }
+
+
+def test_sync_rewrites_the_document(spark):
+    link = url("a") + "#old"
+    got, _ = synced(spark, one=page(link, "old", title='- "q" x'))
+    body = f"> Link: {link}\n\nto [b](../h/b.md) and [z]({url('z')})"
+    digest = hashlib.sha256(body.encode()).hexdigest()
+    assert got["one"].content == (
+        f'---\ndescription: "D: x"\neditor: markdown\ngdrive-link: "{link}"\n'
+        f"hash-gdrive: new\nhash-content: {digest}\npublished: true\n"
+        f'title: "- \\"q\\" x"\n---\n\n{body}'
+    )
+    assert got["one"].content_length == len(got["one"].content.encode())
+
+
+def test_second_sync_finds_nothing_to_do(spark):
+    listed, metadata, texts = corpus(spark)
+    tree = convert(listed, metadata, texts).filter("content IS NOT NULL").select("path", "content")
+    later = metadata.withColumn(
+        "modified_time", F.concat("modified_time", F.lit("+"))
+    )
+    first = sync(tree, listed, later, texts)
+    statuses = {(r.status, r.error) for r in first.collect()}
+    assert ("updated", None) in statuses
+    tree_again = (
+        first.join(tree.withColumnRenamed("content", "was"), F.col("file_path") == F.col("path"))
+        .select("path", F.coalesce("content", "was").alias("content"))
+    )
+    second = sync(tree_again, listed, later, texts).collect()
+    assert {r.status for r in second} == {"unchanged", "skipped", "error"}
+    assert [r.error for r in second if r.status == "error"] == [
+        "failed to export document: unsupported MIME type: application/pdf"
+    ]
+
+
+def test_empty_index_leaves_repaired_text(spark):
+    text = f"[a]({url('a')}) x\\_y {url('b')}\\_c"
+    assert rewritten(spark, text, records(spark, ("none", "N", ""))) == (
+        f"[a]({url('a')}) x\\_y {url('b')}_c"
+    )
