@@ -75,15 +75,15 @@ def output_path(base: str, dirs: Column, name: Column) -> Column:
 def relative_path(source: Column, target: Column, target_file: Column) -> Column:
     """Path to a file from a document's directory.
 
-    ``source`` and ``target`` are arrays of safe segments without file names.
+    ``source`` and ``target`` are arrays of safe segments without file names,
+    one per fragment at most. Their shared start is found by comparing segment
+    by segment and stopping at the first difference; this runs once per link,
+    so it allocates nothing.
     """
-    shared = F.size(
-        F.filter(
-            source,
-            lambda _, i: F.slice(source, F.lit(1), i + 1)
-            == F.slice(target, F.lit(1), i + 1),
-        )
-    )
+    shared = F.lit(len(FRAGMENT_COLUMNS))
+    for i in reversed(range(len(FRAGMENT_COLUMNS))):
+        same = F.get(source, F.lit(i)) == F.get(target, F.lit(i))
+        shared = F.when(same, shared).otherwise(i)
     return F.array_join(
         F.concat(
             F.array_repeat(F.lit(".."), F.size(source) - shared),

@@ -93,10 +93,17 @@ def mentions_drive(text: Column) -> Column:
 
 
 def repair_urls(text: Column) -> Column:
-    """Join drive URLs broken over two lines, then drop Markdown escapes in them."""
+    """Join drive URLs broken over two lines, then drop Markdown escapes in them.
+
+    Substring tests, which are cheap, spare most texts the pattern matching.
+    """
     joined = F.regexp_replace(text, _BROKEN_URL, "https://$1$2")
     unescaped = F.regexp_replace(joined, _ESCAPED_CHAR, "$1$2$3")
-    return F.when(text.contains("\\"), unescaped).otherwise(joined)
+    return (
+        F.when(~mentions_drive(text), text)
+        .when(text.contains("\\"), unescaped)
+        .otherwise(joined)
+    )
 
 
 URL_IN_TEXT = rf"{URL_HEAD}[^{WS})]+"

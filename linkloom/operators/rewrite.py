@@ -48,21 +48,28 @@ def link_targets(
     """``(file_id, targets)``: where each link of a document leads, in text order.
 
     Unresolved links keep an entry without a target, so entries and links stay
-    aligned. A group is one document's links.
+    aligned; documents without any resolved link give no row. A group is one
+    document's links.
     """
     entry = F.struct("pos", F.col("target.dirs"), F.col("target.file_name"))
     return (
         resolve_targets(links, index, overrides, fields=("dirs", "file_name"))
         .groupBy("file_id")
-        .agg(F.array_sort(F.collect_list(entry)).alias("targets"))
+        .agg(
+            F.array_sort(F.collect_list(entry)).alias("targets"),
+            F.count("target").alias("_resolved"),
+        )
+        .filter(F.col("_resolved") > 0)
+        .drop("_resolved")
     )
 
 
 def rewritten_text(docs: DataFrame, repair: bool = True) -> DataFrame:
     """Add ``text``: ``markdown`` with resolved links made relative to ``dirs``.
 
-    Needs ``markdown``, ``targets`` and ``dirs``. Links are replaced in place;
-    unresolved ones and everything between links stay byte for byte.
+    Needs ``markdown``, ``targets`` (null when there is nothing to replace) and
+    ``dirs``. Links are replaced in place; unresolved ones and everything
+    between links stay byte for byte.
     """
 
     def replaced(link: Column, target: Column) -> Column:
@@ -71,6 +78,7 @@ def rewritten_text(docs: DataFrame, repair: bool = True) -> DataFrame:
         relative = F.concat(label, F.lit("]("), path, F.lit(")"))
         return F.when(target["file_name"].isNull(), link).otherwise(relative)
 
+    some = F.col("targets").isNotNull()
     links = F.regexp_extract_all("_repaired", F.lit(MARKDOWN_LINK), F.lit(0))
     rest = F.slice("_between", F.lit(2), F.size("_between"))
     woven = F.zip_with(
@@ -80,15 +88,15 @@ def rewritten_text(docs: DataFrame, repair: bool = True) -> DataFrame:
         docs.withColumn("_repaired", _repaired(repair))
         .withColumns(
             {
-                "_links": links,
-                "_between": text_between_links(F.col("_repaired")),
+                "_links": F.when(some, links),
+                "_between": F.when(some, text_between_links(F.col("_repaired"))),
             }
         )
         .withColumn(
             "text",
-            F.when(F.size("_links") == 0, F.col("_repaired")).otherwise(
-                F.concat(F.get("_between", F.lit(0)), F.array_join(woven, ""))
-            ),
+            F.when(
+                some, F.concat(F.get("_between", F.lit(0)), F.array_join(woven, ""))
+            ).otherwise(F.col("_repaired")),
         )
         .drop("_repaired", "_links", "_between", "targets", "markdown")
     )
