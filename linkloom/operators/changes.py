@@ -28,6 +28,11 @@ def read_headers(md_files: DataFrame) -> DataFrame:
     )
 
 
+def order_files(results: DataFrame) -> DataFrame:
+    """Results in path order, for presentation."""
+    return results.orderBy("file_path")
+
+
 def detect_changes(headers: DataFrame) -> DataFrame:
     """Add ``status``, ``error`` and ``new_hash``; the first rule decides.
 

@@ -20,6 +20,8 @@ from linkloom.operators.metadata import (
 )
 from linkloom.operators.storage import RunFolder
 
+DOCUMENTS_PER_BUCKET = 20_000
+
 
 def first_reach(references: DataFrame, order: list[str], kept: list[str]) -> DataFrame:
     """One row per ``file_id``: its first reference, which also gives the link.
@@ -134,9 +136,15 @@ def _best(rounds: list[DataFrame]) -> DataFrame:
 
 
 def crawl_edges(run: RunFolder, files: DataFrame, contents: DataFrame) -> DataFrame:
-    """The link graph, kept bucketed by source document."""
-    edges = document_links(contents, files, run.partitions)
-    return run.keep_bucketed(edges, "edges", "src")
+    """The link graph, kept bucketed by source document.
+
+    There are as many buckets as shuffle partitions, or fewer when there are
+    few documents (their number comes from file footers).
+    """
+    partitions = int(run.spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(partitions, 1 + contents.count() // DOCUMENTS_PER_BUCKET)
+    edges = document_links(contents, files, buckets)
+    return run.keep_bucketed(edges, "edges", "src", buckets)
 
 
 def crawl_links_only(

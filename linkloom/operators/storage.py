@@ -34,23 +34,24 @@ class RunFolder:
         self.spark = spark
         self.name = f"{label}_{uuid.uuid4().hex}"
         self.path = f"{checkpoint_folder(spark)}/{self.name}"
-        self.partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def keep(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.path}/{table}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def keep_bucketed(self, df: DataFrame, table: str, key: str) -> DataFrame:
+    def keep_bucketed(
+        self, df: DataFrame, table: str, key: str, buckets: int
+    ) -> DataFrame:
         """Keep a table bucketed by ``key``, so that joins on it need no shuffle.
 
-        ``df`` must be hash-partitioned by ``key`` into ``self.partitions``; then
-        every task writes one bucket.
+        ``df`` must be hash-partitioned by ``key`` into ``buckets``; then every
+        task writes one bucket.
         """
         name = f"{self.name}_{table}"
         (
             df.write.option("path", f"{self.path}/{table}")
-            .bucketBy(self.partitions, key)
+            .bucketBy(buckets, key)
             .sortBy(key)
             .saveAsTable(name)
         )

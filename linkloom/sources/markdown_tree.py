@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 def read_markdown_tree(spark: SparkSession, directory: str) -> DataFrame:
-    """``(path, content)`` of every ``.md`` file below a directory."""
+    """``(path, content)`` of every ``.md`` file below a directory.
+
+    For trees of ordinary size; keep very large ones as a document table.
+    """
     return (
         spark.read.format("binaryFile")
         .options(recursiveFileLookup=True, pathGlobFilter="*.md")

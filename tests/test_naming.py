@@ -117,6 +117,12 @@ def test_tags(evaluate, tags, expected):
     assert evaluate(naming.tag_list(F.col("a")), [tags]) == [expected]
 
 
+def test_fragments_without_empty_ones(evaluate):
+    columns = naming.FRAGMENT_COLUMNS
+    value = naming.fragments(*(F.col(c) for c in columns))
+    assert evaluate(value, [("a", "", "b/c", "", "d")], columns) == [["a", "b/c", "d"]]
+
+
 def numbered(rows):
     """Suffixes given one row after the other."""
     seen, out = {}, {}
@@ -149,8 +155,8 @@ def test_unique_paths_spread_a_hot_path(spark):
 def test_presets_come_first(spark):
     """Paths taken already are earlier rows of the plan."""
     plan = spark.createDataFrame(
-        [(0, "o/f.md"), (1, "o/f.md"), (2, "o/f.md"), (3, "o/g.md")],
+        [(i, "o/f.md") for i in range(4)] + [(4, "o/g.md")],
         "rec_pos long, path string",
     )
     got = [r.path for r in paths.unique_paths(plan).orderBy("rec_pos").collect()]
-    assert got == ["o/f.md", "o/f_1.md", "o/f_2.md", "o/g.md"]
+    assert got == ["o/f.md", "o/f_1.md", "o/f_2.md", "o/f_3.md", "o/g.md"]

@@ -48,13 +48,31 @@ def test_no_python_and_no_cross_joins(stored, name):
         assert allowed or word not in plan, word
 
 
-def test_texts_are_searched_once_and_do_not_travel(stored):
-    plan = plan_of(queries.link_edges(stored))
-    # one pass for escapes and one for line breaks on either branch, no more
-    assert plan.count("regexp_extract_all(CASE WHEN Contains(markdown") == 1
-    for line in plan.splitlines():
-        if "Exchange" in line:
-            assert "markdown" not in line
+def text_shuffles(spark, df):
+    """How many exchanges of the plan carry document texts."""
+    execution = df._jdf.queryExecution()
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    blocks = execution.explainString(mode).split("\n\n")
+    return sum("Exchange\n" in b and "markdown" in b for b in blocks)
+
+
+@pytest.fixture
+def large(spark):
+    """Plans as they are when no table is small enough to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_edges_leave_texts_behind(spark, stored, large):
+    edges = queries.link_edges(stored)
+    assert plan_of(edges).count("regexp_extract_all(CASE WHEN") == 1
+    assert text_shuffles(spark, edges) == 0
+
+
+@pytest.mark.parametrize("name", ["published_docs", "rewritten_docs", "sync_rewritten"])
+def test_texts_are_shuffled_once(spark, stored, large, name):
+    assert text_shuffles(spark, queries.over_views()[name](stored)) == 1
 
 
 def test_existence_of_texts_is_checked_without_reading_them(stored):
