@@ -68,9 +68,12 @@ def test_statuses_and_titles(spark):
 def test_links_are_followed_to_the_depth(spark):
     chain = [f"n{i}" for i in range(9)]
     texts = {a: f"go {url(b)} on" for a, b in zip(chain, chain[1:])}
-    files = [file(n) for n in chain]
-    for depth, reached in ((0, 1), (1, 2), (3, 4), (5, 6), (20, 9)):
-        found = discover(*tables(spark, [url("n0")], files, texts), max_depth=depth)
+    seeds, files, contents = tables(spark, [url("n0")], [file(n) for n in chain], texts)
+    seeds = with_file_id(seeds, "url")
+    edges = crawl.crawl_edges(storage.RunFolder(spark, "edges"), files, contents)
+    for depth, reached in ((0, 1), (1, 2), (3, 4), (20, 9)):
+        run = storage.RunFolder(spark, "test")
+        found = crawl.link_closure(run, seeds, edges, depth)
         assert {(r.file_id, r.depth) for r in found.collect()} == {
             (n, i) for i, n in enumerate(chain[:reached])
         }
