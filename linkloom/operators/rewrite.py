@@ -20,6 +20,25 @@ from linkloom.functions.urls import (
 )
 from linkloom.operators.inventory import resolve_targets
 from linkloom.operators.links import spread_urls
+from linkloom.operators.storage import RunFolder
+
+
+MAX_BROADCAST_IDS = 500_000
+
+
+def texts_of(
+    run: RunFolder, contents: DataFrame, wanted: DataFrame
+) -> tuple[DataFrame, DataFrame | None]:
+    """Texts to work on when only some documents are ``wanted``.
+
+    Up to ``MAX_BROADCAST_IDS`` wanted IDs are broadcast to the scan, so that no
+    other text is searched or moved. Beyond that all texts come back together
+    with the IDs, to be applied once texts are reduced to their links.
+    """
+    ids = run.keep(wanted.select("file_id").distinct(), "wanted")
+    if ids.count() <= MAX_BROADCAST_IDS:
+        return contents.join(F.broadcast(ids), "file_id", "left_semi"), None
+    return contents, ids
 
 
 def _repaired(repair: bool) -> Column:

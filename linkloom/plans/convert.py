@@ -12,7 +12,12 @@ from linkloom.operators.publish import (
     require_content,
     route_documents,
 )
-from linkloom.operators.rewrite import link_targets, markdown_links, rewritten_text
+from linkloom.operators.rewrite import (
+    link_targets,
+    markdown_links,
+    rewritten_text,
+    texts_of,
+)
 from linkloom.operators.skew import Spread, measure_spread
 from linkloom.operators.storage import RunFolder
 
@@ -84,14 +89,13 @@ def convert(
     index = run.keep(link_index(records), "index")
     overrides = run.keep(url_overrides(index), "overrides")
 
-    has_text = F.col("route").isin("export", "convert")
-    resolved = link_targets(markdown_links(contents, repair=repair), index, overrides)
+    with_text = plan.filter(F.col("route").isin("export", "convert"))
+    texts, only = texts_of(run, contents.select("file_id", "markdown"), with_text)
+    links = markdown_links(texts, only, repair)
+    resolved = link_targets(links, index, overrides)
     documents = (
-        plan.filter(has_text)
-        .join(spread.copies(resolved), spread.keys, "left")
-        .join(
-            spread.copies(contents.select("file_id", "markdown")), spread.keys, "inner"
-        )
+        with_text.join(spread.copies(resolved), spread.keys, "left")
+        .join(spread.copies(texts), spread.keys)
     )
     published = render_documents(
         rewritten_text(documents, repair), F.col("modified_time")

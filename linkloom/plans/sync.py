@@ -12,7 +12,12 @@ from linkloom.functions.frontmatter import (
 from linkloom.operators.changes import detect_changes, read_headers
 from linkloom.operators.inventory import link_index, url_overrides
 from linkloom.operators.metadata import attach_metadata
-from linkloom.operators.rewrite import link_targets, markdown_links, rewritten_text
+from linkloom.operators.rewrite import (
+    link_targets,
+    markdown_links,
+    rewritten_text,
+    texts_of,
+)
 from linkloom.operators.skew import measure_spread
 from linkloom.operators.storage import RunFolder
 from linkloom.plans.convert import file_facts
@@ -48,12 +53,12 @@ def sync(
     judged = run.keep(detect_changes(known), "judged")
 
     changed = judged.filter(F.col("status") == "updated")
-    links = markdown_links(contents, changed.select("file_id"), repair)
+    texts, only = texts_of(run, contents.select("file_id", "markdown"), changed)
+    links = markdown_links(texts, only, repair)
     resolved = link_targets(links, index, overrides)
     documents = (
-        changed.join(spread.copies(resolved), spread.keys, "left").join(
-            spread.copies(contents.select("file_id", "markdown")), spread.keys, "inner"
-        )
+        changed.join(spread.copies(resolved), spread.keys, "left")
+        .join(spread.copies(texts), spread.keys)
     )
     updated = _updated(rewritten_text(documents, repair))
     kept = judged.filter(F.col("status") != "updated").withColumns(

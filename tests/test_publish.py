@@ -413,6 +413,17 @@ def test_sync_rewrites_the_document(spark):
     assert got["one"].content_length == len(got["one"].content.encode())
 
 
+def test_many_wanted_texts_give_the_same_results(spark, monkeypatch):
+    """The way taken when the wanted IDs are too many to broadcast."""
+    pages = {"one": page(url("a"), "old"), "two": page(url("b"), "new")}
+    few_synced, _ = synced(spark, **pages)
+    few_converted = by_position(convert(*corpus(spark)))
+    monkeypatch.setattr(rewrite, "MAX_BROADCAST_IDS", 0)
+    many_synced, _ = synced(spark, **pages)
+    assert many_synced == few_synced
+    assert by_position(convert(*corpus(spark))) == few_converted
+
+
 def test_second_sync_finds_nothing_to_do(spark):
     listed, metadata, texts = corpus(spark)
     tree = convert(listed, metadata, texts).filter("content IS NOT NULL").select("path", "content")
