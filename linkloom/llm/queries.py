@@ -4,17 +4,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkloom.llm.mixing import MIXING_SQL, op3_source_mixing
 from linkloom.llm.quality import QUALITY_SQL, op4_quality_rules
 from linkloom.llm.sharding import op9_sharding
+from linkloom.llm.simhash import op1_simhash_near_dup
+from linkloom.llm.toxicity import op10_toxicity
 from linkloom.llm.url_filter import URL_FILTER_SQL, op2_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_dup": op1_simhash_near_dup,
     "op2_url_filter": op2_url_filter,
+    "op3_source_mixing": op3_source_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
     "op2_url_filter": URL_FILTER_SQL,
+    "op3_source_mixing": MIXING_SQL,
     "op4_quality_rules": QUALITY_SQL,
 }
