@@ -15,6 +15,9 @@ from linkloom.operators.storage import RunFolder
 
 BUCKET_BYTES = 16 << 20
 SEED = 20_240_607
+#: Up to this many buckets their starts, 12 bytes each, are broadcast; beyond it the
+#: records are shuffled to them.
+BROADCAST_BUCKETS = 500_000
 
 
 def scatter(records: DataFrame, size: str, buckets: int, seed: int = SEED) -> DataFrame:
@@ -73,6 +76,8 @@ def external_shuffle(
         written.groupBy("bucket").agg(F.count("*").alias("n"))
         .select("bucket", F.coalesce(before, F.lit(0)).alias("start"))
     )
+    if buckets <= BROADCAST_BUCKETS:
+        starts = F.broadcast(starts)
     place = F.col("start") + F.col("at")
     return written.join(starts, "bucket").select(
         F.pmod(place, F.lit(shards)).cast("int").alias("shard"),
