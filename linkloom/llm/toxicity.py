@@ -17,8 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +30,8 @@ LEAST_DOCS, LEAST_Z, LEAST_VOTER_Z = 6, 2.0, 3.5
 BEGINNINGS = (4, 5, 6)
 FOLDS, SEED = 5, 17
 ITERATIONS = 30
+#: Documents whose features a task holds at once.
+SLICE = 64
 _WORD = re.compile(r"[^\W\d_]+")
 #: Pattern voters: shouted words, repeated marks, words with masked letters, insult address.
 _PATTERNS = {
@@ -83,8 +83,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) ->
 def _with_features(rows: DataFrame, wanted=None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([features(t.as_py(), wanted) for t in batch["text"]], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], found], names=["doc_id", "toxic", "features"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = pa.array([features(t.as_py(), wanted) for t in part["text"]], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["toxic"], found], names=["doc_id", "toxic", "features"])
 
     return rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, features array<string>")
 
@@ -176,6 +178,10 @@ def _votes(featured: DataFrame, voters: tuple[str, ...]) -> tuple[np.ndarray, np
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> LinearModel:
     """The linear model; a constant one where labels name fewer than two classes."""
+    # Here, so that tasks which only score need not load them.
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel
+
     run = RunFolder(docs.sparkSession, "toxicity")
     featured = run.keep(_with_features(training_rows(docs, labels, limit)), "featured")
     entries = lexicon(featured)
