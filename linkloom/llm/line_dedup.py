@@ -9,7 +9,7 @@ template. Lines of a template that recurs across documents are dropped.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import BLANKS, text_key
+from linkloom.llm.common import text_key
 from linkloom.operators.storage import RunFolder
 
 FIELD = "<*>"
@@ -29,18 +29,28 @@ MOST = 50
 
 # A word with a digit in it. It starts after a blank, so long runs are passed once.
 _VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-_BLANK_RUN = r"[\x20\x09\x0B-\x0D]+"
+_BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
-def masked(text: Column) -> Column:
-    """The text with variable words as fields and blanks single; line ends stay."""
-    fields = F.regexp_replace(F.coalesce(text, F.lit("")), _VARIABLE, FIELD)
-    return F.regexp_replace(fields, _BLANK_RUN, " ")
+def masked(line: Column) -> Column:
+    """The line with variable words as fields, blanks single and none at its ends.
+
+    Most lines need neither pattern; the tests for that are much cheaper.
+    """
+    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _VARIABLE, FIELD)).otherwise(line)
+    odd = F.lit(False)
+    for blanks in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | F.contains(line, F.lit(blanks))
+    return F.btrim(F.when(odd, F.regexp_replace(fields, _BLANK_RUN, " ")).otherwise(fields))
 
 
-def masked_lines(text: Column) -> Column:
-    """Masked lines of a text, one for each line that ``split`` gives."""
-    return F.transform(F.split(masked(text), "\n", -1), lambda line: F.btrim(line))
+def _split_once(text: Column, use) -> Column:
+    """``use`` of the lines of a text, which is split once and not at each use.
+
+    Spark writes out an expression wherever it is used, inside lambdas too; the
+    argument of a lambda is made once.
+    """
+    return F.get(F.transform(F.array(F.split(text, "\n", -1)), use), F.lit(0))
 
 
 def n_tokens(line: Column) -> Column:
@@ -52,71 +62,96 @@ def leaf_of(line: Column, depth: int = DEPTH) -> Column:
     return F.xxhash64(n_tokens(line), F.substring_index(line, " ", depth))
 
 
-def _long(line: Column, least: int) -> Column:
-    return (line != "") & (n_tokens(line) >= least)
+def line_keys(docs: DataFrame, text: str, doc: str, depth: int, least_tokens: int) -> DataFrame:
+    """``(doc, key, place, line, leaf, n)``: hashes of lines, where they are, their tokens.
+
+    Places count from 0 and follow ``split``. Lines too short to have
+    ``least_tokens`` are left out where that is plain; the rest is told by ``n``.
+    """
+    body = F.col(f"`{text}`")
+    lines = docs.select(F.col(f"`{doc}`").alias("doc"), text_key(body).alias("key"), F.posexplode(F.split(body, "\n", -1)).alias("place", "raw"))
+    # A line of n tokens has n - 1 blanks between them and n letters at least.
+    lines = lines.filter(F.length("raw") >= 2 * least_tokens - 1)
+    shown = lines.select("doc", "key", "place", masked(F.col("raw")).alias("line"))
+    return shown.select("doc", "key", "place", F.xxhash64("line").alias("line"), leaf_of(F.col("line"), depth).alias("leaf"), n_tokens(F.col("line")).alias("n"))
+
+
+def _first_texts(docs: DataFrame, text: str, doc: str, keyed: DataFrame, open_lines: DataFrame) -> DataFrame:
+    """``open_lines(line, leaf, n_docs)`` with their tokens, read at each line's first place.
 
+    Only documents that hold such a first place are searched.
+    """
+    places = keyed.join(open_lines.select("line"), "line").groupBy("line").agg(F.min(F.struct("doc", "key", "place")).alias("first"))
+    wanted = places.groupBy("first.doc", "first.key").agg(F.collect_list(F.struct("first.place", "line")).alias("wanted"))
+    wanted = wanted.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "wanted").hint("shuffle_hash")
+    body = F.col(f"`{text}`")
+    rows = docs.select(F.col(f"`{doc}`").alias("doc"), text_key(body).alias("key"), body.alias("text"))
+    found = rows.join(wanted, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")))
+    def at_places(lines: Column) -> Column:
+        return F.transform("wanted", lambda w: F.struct(w["line"].alias("line"), F.get(lines, w["place"]).alias("raw")))
 
-def recurring_lines(docs: DataFrame, text: str, run: RunFolder, depth: int = DEPTH, least_tokens: int = LEAST_TOKENS,
-                    least_docs: int = LEAST_DOCS) -> DataFrame:
+    each = found.select(F.explode(_split_once(F.col("text"), at_places)).alias("x"))
+    one = each.groupBy("x.line").agg(F.first("x.raw").alias("raw"))  # repeated rows give a line more than once
+    return one.join(open_lines, "line").select("line", "leaf", "n_docs", F.split(masked(F.col("raw")), " ").alias("tokens"))
+
+
+def recurring_lines(docs: DataFrame, text: str, doc: str, keyed: DataFrame, run: RunFolder, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``(line)``: 64-bit keys of the masked lines whose template recurs.
 
-    A document counts once for a template it repeats. Counting combines before
-    each shuffle, so a line of all documents costs no more than a rare one.
+    ``keyed`` holds ``line_keys(docs)`` of the lines that may be dropped. A
+    document counts once for a template it repeats. Counting combines before each
+    shuffle, so a line of all documents costs no more than a rare one.
     """
-    lines = docs.select(F.explode(F.array_distinct(masked_lines(F.col(f"`{text}`")))).alias("line"))
-    lines = lines.filter(_long(F.col("line"), least_tokens))
-    counted = lines.groupBy(F.xxhash64("line").alias("key"), leaf_of(F.col("line"), depth).alias("leaf")).agg(F.count("*").alias("n_docs"))
-    counted = run.keep(counted, "lines")
-    same = counted.filter(F.col("n_docs") >= least_docs).select(F.col("key").alias("line"))
+    counted = keyed.groupBy("line", "leaf", "doc", "key").agg(F.lit(1).alias("n")).groupBy("line", "leaf").agg(F.count("*").alias("n_docs"))
+    counted = run.keep(counted, "counted")
+    same = counted.filter(F.col("n_docs") >= least_docs).select("line")
     # Leaves that several lines of too few documents share may hide a template.
     rare = counted.filter(F.col("n_docs") < least_docs)
     leaves = rare.groupBy("leaf").agg(F.sum("n_docs").alias("n_docs"), F.count("*").alias("n")).filter((F.col("n_docs") >= least_docs) & (F.col("n") > 1))
-    open_lines = run.keep(rare.join(leaves.select("leaf"), "leaf").select("key", "leaf", "n_docs"), "open")
-    texts = lines.select(F.xxhash64("line").alias("key"), "line").join(open_lines, "key").dropDuplicates(["key"])
-    texts = run.keep(texts.select("key", "leaf", "n_docs", F.split("line", " ").alias("tokens")), "open_texts")
+    open_lines = run.keep(rare.join(leaves.select("leaf"), "leaf").select("line", "leaf", "n_docs"), "open")
+    texts = run.keep(_first_texts(docs, text, doc, keyed, open_lines), "open_texts")
     places = texts.select("leaf", "n_docs", F.posexplode("tokens").alias("place", "token"))
     tokens = places.groupBy("leaf", "place", "token").agg(F.sum("n_docs").alias("n"))
-    fixed = (
-        tokens.groupBy("leaf", "place").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("most"))
-        .filter(F.col("most.n") * 100 >= F.col("all") * AGREE)
-        .groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "most.token"))).alias("template"))
-    )
-    agree = F.size(F.filter(F.transform("tokens", lambda t, i: t == F.element_at("template", i)), lambda x: x))
-    near = texts.join(fixed, "leaf").filter(agree * 100 >= F.size("tokens") * FIXED).select("key", "leaf", "n_docs")
+    most = tokens.groupBy("leaf", "place").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("most"))
+    fixed = F.when(F.col("most.n") * 100 >= F.col("all") * AGREE, F.col("most.token"))
+    # Every place has an entry, so the sorted entries are the template; fields are null.
+    entries = F.sort_array(F.collect_list(F.struct("place", fixed.alias("token"))))
+    templates = most.groupBy("leaf").agg(entries.alias("template"))
+    agree = F.size(F.filter(F.zip_with("tokens", F.col("template.token"), lambda a, b: a == b), lambda x: x))
+    near = texts.join(templates, "leaf").filter(agree * 100 >= F.size("tokens") * FIXED).select("line", "leaf", "n_docs")
     kept = near.groupBy("leaf").agg(F.sum("n_docs").alias("leaf_docs")).filter(F.col("leaf_docs") >= least_docs)
-    general = near.join(kept, "leaf").select(F.col("key").alias("line"))
-    return same.union(general)
+    return same.union(near.join(kept, "leaf").select("line"))
 
 
-def drop_recurring_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", **options) -> tuple[DataFrame, DataFrame]:
+def drop_recurring_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", depth: int = DEPTH,
+                         least_tokens: int = LEAST_TOKENS, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
     """``(changed, dropped)``.
 
     ``dropped`` is ``(doc, key, places)``: for each text that loses lines, by ID
     and content key, the places of those lines, from 0. ``changed`` is ``docs``
     with those lines cut out of ``text``; other rows are as they were, null and
-    empty texts and copies of whole documents (``MOST``) among them. Rows that agree in ID and text lose the same lines,
-    and an empty table gives empty results.
+    empty texts and copies of whole documents (``MOST``) among them. Rows that
+    agree in ID and text lose the same lines, and an empty table gives empty
+    results.
     """
     run = RunFolder(docs.sparkSession, "line_dedup")
-    recurring = run.keep(recurring_lines(docs, text, run, **options), "recurring")
-    least = options.get("least_tokens", LEAST_TOKENS)
     body = F.col(f"`{text}`")
-    lined = docs.select(F.col(f"`{doc}`").alias("doc"), text_key(body).alias("key"), masked_lines(body).alias("lines"))
-    lined = lined.withColumn("n_long", F.size(F.filter("lines", lambda line: _long(line, least))))
-    placed = (
-        lined.select("doc", "key", "n_long", F.posexplode("lines").alias("place", "line"))
-        .filter(_long(F.col("line"), least))
-        .select("doc", "key", "n_long", "place", F.xxhash64("line").alias("line"))
-    )
-    hit = placed.join(recurring, "line").groupBy("doc", "key", "n_long").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    dropped = run.keep(hit.filter(F.size("places") * 100 <= F.col("n_long") * MOST).drop("n_long"), "dropped")
+    keyed = run.keep(line_keys(docs, text, doc, depth, least_tokens), "keyed").filter(F.col("n") >= least_tokens)
+    recurring = run.keep(recurring_lines(docs, text, doc, keyed, run, least_docs), "recurring")
+    long = keyed.groupBy("doc", "key").agg(F.count_distinct("place").alias("n_long"))
+    hit = keyed.join(recurring, "line").groupBy("doc", "key").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    same = hit["doc"].eqNullSafe(long["doc"]) & (hit["key"] == long["key"])
+    some = hit.join(long, same).filter(F.size("places") * 100 <= F.col("n_long") * MOST)
+    dropped = run.keep(some.select(hit["doc"], hit["key"], "places"), "dropped")
     names = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{doc}`").alias("doc"), text_key(body).alias("key"))
-    lost = dropped.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "places")
+    lost = dropped.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "places").hint("shuffle_hash")
     joined = rows.join(lost, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
-    lines = F.split(F.col("row").getField(text), "\n", -1)
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places")
-    rest = F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
+    def without_places(lines: Column) -> Column:
+        keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places")
+        return F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
+
+    rest = _split_once(F.col("row").getField(text), without_places)
     new = F.when(F.col("places").isNull(), F.col("row").getField(text)).otherwise(rest)
     changed = joined.select(*((new if c == text else F.col("row").getField(c)).alias(c) for c in names))
     return changed, dropped
