@@ -193,15 +193,20 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> LinearMode
     votes, given = _votes(featured, voters)
     model = fit_label_model(voters, votes, given)
 
+    known = {f for f, _ in entries}
+
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {v: i for i, v in enumerate(model.voters)}
         for batch in batches:
-            found = batch["features"].to_pylist()
-            votes = np.zeros((len(found), len(at)))
-            for i, names in enumerate(found):
-                votes[i, [at[f] for f in names if f in at]] = 1
-            p = model.posterior(votes, batch["toxic"].to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([batch["features"], pa.array(p)], names=["features", "p"])
+            for begin in range(0, batch.num_rows, SLICE):
+                part = batch.slice(begin, SLICE)
+                found = part["features"].to_pylist()
+                votes = np.zeros((len(found), len(at)))
+                for i, names in enumerate(found):
+                    votes[i, [at[f] for f in names if f in at]] = 1
+                p = model.posterior(votes, part["toxic"].to_numpy(zero_copy_only=False))
+                told = pa.array([[f for f in names if f in known] for names in found], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([told, pa.array(p)], names=["features", "p"])
 
     vocabulary = [f for f, _ in entries]
     labelled = featured.mapInArrow(label, "features array<string>, p double")
