@@ -182,10 +182,9 @@ def _signed(mask: int) -> int:
 
 def _route(rows: DataFrame, parts_of: dict[int, list[int]]) -> DataFrame:
     """Deal each row of ``rows(print, mask)`` to the blocks below its mask."""
-    below = F.lit(None).cast("array<bigint>")
+    below = F  # one flat CASE over the masks
     for mask, parts in parts_of.items():
-        made = F.array(*(F.lit(_signed(p)) for p in parts))
-        below = F.when(F.col("mask") == _signed(mask), made).otherwise(below)
+        below = below.when(F.col("mask") == _signed(mask), F.array(*(F.lit(_signed(p)) for p in parts)))
     dealt = rows.select("print", F.explode(below).alias("mask"))
     return dealt.withColumn("value", F.col("print").bitwiseAND(F.col("mask")))
 

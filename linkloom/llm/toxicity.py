@@ -30,6 +30,8 @@ LEAST_DOCS, LEAST_Z, LEAST_VOTER_Z = 6, 2.0, 3.5
 BEGINNINGS = (4, 5, 6)
 FOLDS, SEED = 5, 17
 ITERATIONS = 30
+#: Score at most of texts that no model could be fitted for.
+NOTHING_LEARNT = 0.4
 #: Documents whose features a task holds at once.
 SLICE = 64
 _WORD = re.compile(r"[^\W\d_]+")
@@ -177,7 +179,11 @@ def _votes(featured: DataFrame, voters: tuple[str, ...]) -> tuple[np.ndarray, np
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> LinearModel:
-    """The linear model; a constant one where labels name fewer than two classes."""
+    """The linear model.
+
+    Where the labels name fewer than two classes, or no feature tells them apart,
+    it is a constant below a half: nothing is called toxic.
+    """
     # Here, so that tasks which only score need not load them.
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizerModel
@@ -187,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> LinearMode
     entries = lexicon(featured)
     if not entries:
         total, toxic = featured.agg(F.count("*"), F.sum("toxic")).first()
-        share = ((toxic or 0) + 0.5) / (total + 1) if total else 0.01
+        share = min(((toxic or 0) + 0.5) / (total + 1), NOTHING_LEARNT)
         return LinearModel({}, math.log(share / (1 - share)))
     voters = tuple(f for f, z in entries if z >= LEAST_VOTER_Z or f in _PATTERNS)[:VOTERS]
     votes, given = _votes(featured, voters)
