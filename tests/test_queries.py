@@ -8,6 +8,7 @@ from compare import difference, duck
 import __spark_entry__ as contract
 from linkloom import queries
 from linkloom.fixtures import Fixtures
+from linkloom.oracle import all_oracles
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,13 +18,13 @@ def connection():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(queries.all_queries()))
 def test_query_matches_sql(spark, connection, name):
     assert difference(spark, connection, name, SF) is None
 
 
 def test_every_query_has_a_check():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert queries.all_queries().keys() == all_oracles().keys()
 
 
 def test_entry(spark):
@@ -39,7 +40,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(queries.all_queries()))
 def test_no_python_and_no_cross_joins(stored, name):
     plan = plan_of(queries.over_views()[name](stored))
     for word in ("PythonUDF", "ArrowEvalPython", "MapInPandas", "CartesianProduct",
