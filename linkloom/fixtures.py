@@ -15,11 +15,11 @@ def _doc_id(expr: str) -> str:
     return _ID.format(expr)
 
 
-# Names are the first line of a text, cut at 40 characters.
+# Names are the whole first line of a text.
 FILES = f"""
 SELECT {_doc_id('doc_id')} AS file_id,
- CASE WHEN split_part(substr(text, 1, 40), chr(10), 1) = '' THEN 'Doc ' || CAST(doc_id AS STRING)
-      ELSE split_part(substr(text, 1, 40), chr(10), 1) END AS name,
+ CASE WHEN split_part(text, chr(10), 1) = '' THEN 'Doc ' || CAST(doc_id AS STRING)
+      ELSE split_part(text, chr(10), 1) END AS name,
  CASE doc_id % 10 WHEN 0 THEN 'application/vnd.google-apps.spreadsheet' WHEN 1 THEN 'video/mp4'
   WHEN 2 THEN 'application/pdf' WHEN 3 THEN 'application/octet-stream'
   ELSE 'application/vnd.google-apps.document' END AS mime_type,
@@ -66,11 +66,11 @@ SELECT d.doc_id, {_doc_id('d.doc_id')} AS file_id,
 FROM documents d
 """
 
-# Seeds: every labelled document of good quality, every folder of a language,
+# Seeds: every labelled document, every folder of a language,
 # and every web page, which is not in the drive at all.
 SEEDS = f"""
 SELECT doc_id AS seed_pos, 'https://docs.google.com/document/d/' || {_doc_id('doc_id')} || '/edit' AS url
-FROM labels WHERE quality = 1
+FROM labels
 UNION ALL
 SELECT (SELECT max(doc_id) + 1 FROM documents) + min(doc_id) AS seed_pos,
  'https://drive.google.com/drive/folders/fld' || lang AS url
@@ -89,8 +89,8 @@ SELECT doc_id AS rec_pos,
       WHEN doc_id % 41 = 3 THEN 'https://docs.google.com/spreadsheets/d/' || {_doc_id('doc_id')} || '/edit'
       WHEN doc_id % 43 = 3 THEN 'https://example.org/' || CAST(doc_id AS STRING)
       ELSE 'https://docs.google.com/document/d/' || {_doc_id('doc_id')} || '/edit' END AS link,
- CASE WHEN split_part(substr(text, 1, 40), chr(10), 1) = '' THEN 'Doc ' || CAST(doc_id AS STRING)
-      ELSE split_part(substr(text, 1, 40), chr(10), 1) END AS title,
+ CASE WHEN split_part(text, chr(10), 1) = '' THEN 'Doc ' || CAST(doc_id AS STRING)
+      ELSE split_part(text, chr(10), 1) END AS title,
  lang || '; ' || source || CASE WHEN doc_id % 4 = 0 THEN ';;' ELSE '' END AS tags,
  lang AS frag1, source AS frag2,
  CASE WHEN doc_id % 3 = 0 THEN 'Deep  Dive: ' || lang ELSE '' END AS frag3,

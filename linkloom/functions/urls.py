@@ -107,7 +107,10 @@ def repair_urls(text: Column) -> Column:
 
 
 URL_IN_TEXT = rf"{URL_HEAD}[^{WS})]+"
-MARKDOWN_LINK = rf"\[([^\]]++)\]\(({URL_HEAD}[^)]++)\)"
+# A link with the text before it: groups are that text, the label and the URL. A
+# match starts only at the text's start, after a bracket closes or after the last
+# match, so every bracket is looked at once, however many stay open.
+MARKDOWN_LINK = rf"(?:\A|\G|(?<=\]))([^\[\]]*+)\[([^\]]++)\]\(({URL_HEAD}[^)]++)\)"
 
 
 def urls_in_text(text: Column) -> Column:
@@ -117,14 +120,19 @@ def urls_in_text(text: Column) -> Column:
 
 def markdown_link_urls(text: Column) -> Column:
     """URL of every Markdown link to a drive host, in order."""
-    return F.regexp_extract_all(text, F.lit(MARKDOWN_LINK), F.lit(2))
+    return F.regexp_extract_all(text, F.lit(MARKDOWN_LINK), F.lit(3))
 
 
 def markdown_link_labels(text: Column) -> Column:
     """Label of every Markdown link to a drive host, in order."""
-    return F.regexp_extract_all(text, F.lit(MARKDOWN_LINK), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(MARKDOWN_LINK), F.lit(2))
+
+
+def links_with_text(text: Column) -> Column:
+    """Every Markdown link to a drive host, with the text from the match before it on."""
+    return F.regexp_extract_all(text, F.lit(MARKDOWN_LINK), F.lit(0))
 
 
-def text_between_links(text: Column) -> Column:
-    """Pieces of text around the links; always one more than there are links."""
-    return F.split(text, MARKDOWN_LINK, -1)
+def text_after_links(text: Column) -> Column:
+    """The text after the last Markdown link to a drive host; all of it if there is none."""
+    return F.element_at(F.split(text, MARKDOWN_LINK, -1), -1)

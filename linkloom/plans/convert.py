@@ -26,9 +26,15 @@ _RESULT = ("rec_pos", "link", "title", "file_id", "route", "error", "path", "con
 
 
 def file_facts(files: DataFrame, contents: DataFrame) -> DataFrame:
-    """Metadata of each file and whether its text is there (no text is read)."""
-    present = contents.select("file_id", F.lit(True).alias("has_content"))
-    return files.select(*METADATA).join(present, "file_id", "left")
+    """Metadata of each file and whether its text is there: one or more, not null.
+
+    A missing revision is the empty one.
+    """
+    there = contents.filter("markdown IS NOT NULL").select("file_id").distinct()
+    present = there.withColumn("has_content", F.lit(True))
+    revision = F.coalesce("modified_time", F.lit("")).alias("modified_time")
+    known = files.select(*(revision if c == "modified_time" else c for c in METADATA))
+    return known.join(present, "file_id", "left")
 
 
 def _planned(
@@ -90,8 +96,8 @@ def convert(
     overrides = run.keep(url_overrides(index), "overrides")
 
     with_text = plan.filter(F.col("route").isin("export", "convert"))
-    texts, only = texts_of(run, contents.select("file_id", "markdown"), with_text)
-    links = markdown_links(texts, only, repair)
+    texts = texts_of(run, contents.select("file_id", "markdown"), with_text)
+    links = markdown_links(texts, repair)
     resolved = link_targets(links, index, overrides)
     documents = (
         with_text.join(spread.copies(resolved), spread.keys, "left")

@@ -53,8 +53,8 @@ def sync(
     judged = run.keep(detect_changes(known), "judged")
 
     changed = judged.filter(F.col("status") == "updated")
-    texts, only = texts_of(run, contents.select("file_id", "markdown"), changed)
-    links = markdown_links(texts, only, repair)
+    texts = texts_of(run, contents.select("file_id", "markdown"), changed)
+    links = markdown_links(texts, repair)
     resolved = link_targets(links, index, overrides)
     documents = (
         changed.join(spread.copies(resolved), spread.keys, "left")

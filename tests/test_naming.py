@@ -1,5 +1,10 @@
 """Names, paths, tags, collision suffixes and relative links."""
 
+import posixpath
+import random
+import re
+import string
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,53 +12,56 @@ from linkloom.functions import naming
 from linkloom.operators import paths
 
 
-@pytest.mark.parametrize(
-    "name, expected",
-    [
-        ("plain-name.txt", "plain-name.txt"),
-        ('a<b>c:d"e/f\\g|h?i*j', "a_b_c_d_e_f_g_h_i_j"),
-        ("tab\there\x01", "tab_here"),
-        ("many    blanks", "many blanks"),
-        ("  outer  ", "outer"),
-        ("dots....here", "dots.here"),
-        ("._ mixed _.", "mixed"),
-        ("", "untitled"),
-        ("???", "untitled"),
-        ("..", "untitled"),
-        (".", "untitled"),
-        ("é" * 200, "é" * 127 + "\N{REPLACEMENT CHARACTER}"),
-        ("x" * 300, "x" * 255),
-    ],
-)
-def test_safe_name(evaluate, name, expected):
-    value = naming.safe_name(F.col("a"))
-    assert evaluate(F.octet_length(value), [name])[0] <= 255
-    # a name cut inside a character keeps its bytes; compare as text
-    cut = F.decode(value.cast("binary"), "ISO-8859-1")
-    got = evaluate(cut, [name])[0].encode("latin-1").decode("utf-8", "replace")
-    assert got == expected
+UNSAFE = set('<>:"/\\|?*') | {chr(c) for c in range(32)}
 
 
-@pytest.mark.parametrize(
-    "title, expected",
-    [
-        ("First Steps", "first-steps"),
-        ("Guide: v3.1!", "guide-v3"),
-        ("Release 1.2 notes", "release-1"),
-        ("wide   gaps", "wide-gaps"),
-        ("snake_case_title", "snakecasetitle"),
-        ("notes.txt", "notes"),
-        ("--edges--", "edges"),
-        ("%$#@", "unnamed"),
-        ("документ", "unnamed"),
-        ("Part-7B", "part-7b"),
-        ("", "unnamed"),
-        (".hidden", "unnamed"),
-        ("line\nbreak.md", "linebreak"),
-    ],
-)
-def test_slug(evaluate, title, expected):
-    assert evaluate(naming.slug(F.col("a")), [title]) == [expected]
+def names(seed=11, n=300):
+    """Names of every kind: long and multi-byte first, then random mixtures."""
+    rng = random.Random(seed)
+    made = ["é" * 200, "日本" * 100, "a" * 254 + "é", "x" * 5000, "", " ", "...", "\x00", "a/" * 200]
+    alphabet = "aB9 ._-" + "".join(sorted(UNSAFE)) + "éß日😀"
+    return made + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40))) for _ in range(n)]
+
+
+def safe_bytes(name):
+    """A plain model: one character after another."""
+    out = ""
+    for c in name:
+        c = "_" if c in UNSAFE else c
+        if c in " ." and out.endswith(c):
+            continue
+        out += c
+    return (out.strip(" ._") or "untitled").encode()[:255]
+
+
+def as_bytes(value):
+    return F.hex(value.cast("binary"))
+
+
+def test_safe_names_follow_the_model(evaluate):
+    got = evaluate(as_bytes(naming.safe_name(F.col("a"))), names())
+    assert [bytes.fromhex(g) for g in got] == [safe_bytes(n) for n in names()]
+
+
+def test_safe_names_are_safe_segments(evaluate):
+    for made in (bytes.fromhex(g) for g in evaluate(as_bytes(naming.safe_name(F.col("a"))), names(12))):
+        text = made.decode("utf-8", "replace")
+        assert 0 < len(made) <= 255 and not set(text) & UNSAFE and text not in (".", "..")
+
+
+def test_short_safe_names_stay_as_they_are(evaluate):
+    once = [b.decode() for b in map(safe_bytes, names(13)) if len(b) < 200]
+    assert evaluate(naming.safe_name(F.col("a")), once) == once
+
+
+def test_slugs_are_plain_and_stable(evaluate):
+    titles = names(14)
+    made = evaluate(naming.slug(F.col("a")), titles)
+    for title, got in zip(titles, made):
+        assert re.fullmatch("[a-z0-9]+(-[a-z0-9]+)*", got)
+        kept = [c for c in title.rpartition(".")[0 if "." in title else 2].lower() if c in string.ascii_lowercase + string.digits]
+        assert got == "unnamed" or got.replace("-", "") == "".join(kept)
+    assert evaluate(naming.slug(F.col("a")), made) == made
 
 
 @pytest.mark.parametrize(
@@ -79,42 +87,23 @@ def test_output_path(evaluate, base, frags, title, expected):
     assert evaluate(path, [(title, *frags)], columns) == [expected]
 
 
-@pytest.mark.parametrize(
-    "source, target, expected",
-    [
-        (["a", "b"], ["a", "b"], "t.md"),
-        (["a", "b"], ["a", "c"], "../c/t.md"),
-        (["a"], ["a", "b", "c"], "b/c/t.md"),
-        (["a", "b", "c"], ["a"], "../../t.md"),
-        (["a", "b"], ["x", "y"], "../../x/y/t.md"),
-        ([], ["a", "b"], "a/b/t.md"),
-        (["a"], [], "../t.md"),
-        ([], [], "t.md"),
-        # equal segments after a difference are not shared
-        (["a", "b", "c"], ["x", "b", "c"], "../../../x/b/c/t.md"),
-    ],
-)
-def test_relative_paths(spark, source, target, expected):
-    pairs = spark.createDataFrame(
-        [(source, target, "t.md")],
-        "source_dirs array<string>, target_dirs array<string>, target_file string",
-    )
-    assert paths.relative_paths(pairs).first().relative_path == expected
+def test_relative_paths_reach_their_targets(spark):
+    """From the source's directory the path leads to the target, by the shortest way."""
+    rng = random.Random(15)
+    draw = lambda: [rng.choice("pqr") for _ in range(rng.randrange(6))]
+    rows = [(draw(), draw(), f"f{i}.md") for i in range(300)]
+    pairs = spark.createDataFrame(rows, "source_dirs array<string>, target_dirs array<string>, target_file string")
+    for row in paths.relative_paths(pairs).collect():
+        source, target = "/".join(["", *row.source_dirs]), "/".join(["", *row.target_dirs, row.target_file])
+        assert posixpath.normpath(f"{source}/{row.relative_path}") == target
+        assert row.relative_path == posixpath.relpath(target, source or "/")
 
 
-@pytest.mark.parametrize(
-    "tags, expected",
-    [
-        ("one", ["one"]),
-        ("one;two;three", ["one", "two", "three"]),
-        (" one ;\ttwo;  ", ["one", "two"]),
-        ("", []),
-        (";;", []),
-        ("a, b", ["a, b"]),
-    ],
-)
-def test_tags(evaluate, tags, expected):
-    assert evaluate(naming.tag_list(F.col("a")), [tags]) == [expected]
+def test_tags_are_trimmed_and_never_empty(evaluate):
+    rng = random.Random(16)
+    rows = ["".join(rng.choice("ab,; \t") for _ in range(rng.randrange(20))) for _ in range(200)]
+    expected = [[t.strip() for t in row.split(";") if t.strip()] for row in rows]
+    assert evaluate(naming.tag_list(F.col("a")), rows) == expected
 
 
 def test_fragments_without_empty_ones(evaluate):

@@ -413,15 +413,34 @@ def test_sync_rewrites_the_document(spark):
     assert got["one"].content_length == len(got["one"].content.encode())
 
 
-def test_many_wanted_texts_give_the_same_results(spark, monkeypatch):
-    """The way taken when the wanted IDs are too many to broadcast."""
+def test_texts_meet_the_wanted_ids_the_same_way_at_any_size(spark):
+    """With broadcasts off, unwanted texts are dropped by an ordinary semi-join."""
     pages = {"one": page(url("a"), "old"), "two": page(url("b"), "new")}
     few_synced, _ = synced(spark, **pages)
     few_converted = by_position(convert(*corpus(spark)))
-    monkeypatch.setattr(rewrite, "MAX_BROADCAST_IDS", 0)
-    many_synced, _ = synced(spark, **pages)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many_synced, _ = synced(spark, **pages)
+        many_converted = by_position(convert(*corpus(spark)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert many_synced == few_synced
-    assert by_position(convert(*corpus(spark))) == few_converted
+    assert many_converted == few_converted
+
+
+def test_null_texts_are_errors(spark):
+    listed, metadata, texts = corpus(spark)
+    gone = texts.withColumn("markdown", F.lit(None).cast("string"))
+    rows = convert(listed, metadata, gone).filter("route IN ('export', 'convert')")
+    assert rows.count() == 0
+    assert convert(listed, metadata, gone).filter("content IS NULL AND error IS NULL").count() == 0
+
+
+def test_a_missing_revision_is_the_empty_one(spark):
+    listed, metadata, texts = corpus(spark)
+    unknown = metadata.withColumn("modified_time", F.lit(None).cast("string"))
+    tree = convert(listed, unknown, texts).filter("content LIKE '---%'")
+    assert tree.count() > 0 and tree.filter("content NOT LIKE '%hash-gdrive:%'").count() == 0
 
 
 def test_second_sync_finds_nothing_to_do(spark):

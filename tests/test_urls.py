@@ -1,6 +1,7 @@
 """File IDs, canonical links, link extraction and repair of broken URLs."""
 
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -194,3 +195,12 @@ def test_only_readable_documents_are_searched(spark):
     )
     found = {r.src for r in document_links(contents, metadata).collect()}
     assert found == {"doc", "sheet", "pdf", "docx"}
+
+
+def test_open_brackets_cost_no_more_than_other_text(evaluate):
+    """Matching is linear: a million brackets that never close, then a link."""
+    text = "[" * 1_000_000 + "x](https://docs.google.com/document/d/abc/edit)"
+    broken = "[" * 1_000_000
+    start = time.time()
+    got = evaluate(F.size(urls.markdown_link_urls(F.col("a"))), [text, broken])
+    assert got == [1, 0] and time.time() - start < 30
