@@ -5,9 +5,9 @@ the data is scanned once. Rows with another number of fields than the header
 are rejected; ``rejected_rows`` returns them.
 
 Fields may hold quoted line breaks, and files with such fields cannot be split:
-each is read by one task. That is done unasked for small inputs only. For larger
-ones say ``multi_line=False`` when no field holds a line break, and files split
-as usual; very large inventories are better kept as tables with ``rec_pos``.
+each is read by one task. Say ``multi_line=False`` when no field holds a line
+break, and files split as usual; rows that it breaks are among the rejected ones.
+Very large inventories are better kept as tables with ``rec_pos``.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +17,6 @@ from pyspark.sql import types as T
 from linkloom.functions.naming import FRAGMENT_COLUMNS
 from linkloom.functions.text import blank_if_null
 
-MAX_UNSPLIT_BYTES = 1 << 30
-
 _BAD = "_bad_row"
 _OPTIONS = {
     "quote": '"',
@@ -35,22 +33,9 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return [name or "" for name in first]
 
 
-def _one_task_per_file(spark: SparkSession, path: str) -> bool:
-    files = spark.read.format("binaryFile").load(path).select("length")
-    size = files.agg(F.sum("length")).first()[0] or 0
-    if size > MAX_UNSPLIT_BYTES:
-        raise ValueError(
-            f"{path} holds {size} bytes; pass multi_line=False if no field holds "
-            "a line break, or multi_line=True to read each file in one task"
-        )
-    return True
-
-
 def _rows(
-    spark: SparkSession, path: str, width: int, multi_line: bool | None
+    spark: SparkSession, path: str, width: int, multi_line: bool
 ) -> DataFrame:
-    if multi_line is None:
-        multi_line = _one_task_per_file(spark, path)
     schema = T.StructType(
         [T.StructField(f"c{i}", T.StringType()) for i in range(width)]
         + [T.StructField(_BAD, T.StringType())]
@@ -64,7 +49,7 @@ def _rows(
 
 
 def rejected_rows(
-    spark: SparkSession, path: str, multi_line: bool | None = None
+    spark: SparkSession, path: str, multi_line: bool = True
 ) -> DataFrame:
     """The raw rows of a CSV file whose field count differs from the header's."""
     rows = _rows(spark, path, len(_header(spark, path)), multi_line)
@@ -75,7 +60,7 @@ def rejected_rows(
 
 
 def read_seeds(
-    spark: SparkSession, path: str, multi_line: bool | None = None
+    spark: SparkSession, path: str, multi_line: bool = True
 ) -> DataFrame:
     """``(seed_pos, url)`` from the first column named ``url`` or ``link``."""
     header = [name.lower() for name in _header(spark, path)]
@@ -95,7 +80,7 @@ def read_seeds(
 
 
 def read_inventory(
-    spark: SparkSession, path: str, multi_line: bool | None = None
+    spark: SparkSession, path: str, multi_line: bool = True
 ) -> DataFrame:
     """``(rec_pos, link, title, tags, frag1..frag5)``; the last column of a name counts.
 

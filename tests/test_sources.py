@@ -81,12 +81,12 @@ def test_rows_of_another_width_are_rejected(spark, tmp_path, multi_line):
     assert sorted(r.row for r in bad) == ["l2,T2,extra", "short"]
 
 
-def test_large_files_are_not_read_by_one_task_unasked(spark, tmp_path, monkeypatch):
-    path = write(tmp_path / "i.csv", "link,title\nl1,T1\n")
-    monkeypatch.setattr(csv_files, "MAX_UNSPLIT_BYTES", 10)
-    with pytest.raises(ValueError, match="multi_line"):
-        csv_files.read_inventory(spark, path)
-    assert csv_files.read_inventory(spark, path, multi_line=False).count() == 1
+def test_files_split_when_no_field_holds_a_line_break(spark, tmp_path):
+    path = str(tmp_path / "one.csv")
+    with open(path, "w") as out:
+        out.write("link,title\nu,t\n")
+    for multi_line in (True, False):
+        assert csv_files.read_inventory(spark, path, multi_line=multi_line).count() == 1
 
 
 def test_discovery_report(spark, tmp_path):
