@@ -32,7 +32,8 @@ FROM documents
 UNION ALL
 SELECT DISTINCT 'fld' || lang || source AS file_id, source AS name,
  'application/vnd.google-apps.folder' AS mime_type, 'fld' || lang AS parent_id,
- '2024-02-01T00:00:00.000Z' AS modified_time, source LIKE '%9' AS trashed, 200 AS http_status
+ '2024-02-01T00:00:00.000Z' AS modified_time, source LIKE '%9' AS trashed,
+ CASE WHEN source LIKE '%7' THEN 403 ELSE 200 END AS http_status
 FROM documents
 UNION ALL
 SELECT DISTINCT 'fld' || lang AS file_id, lang AS name,

@@ -91,31 +91,34 @@ def folder_closure(
     ``roots`` has ``file_id, depth, seed_pos``; each file gets the least
     ``(depth, seed_pos)`` of the roots above it. The loop walks folders only
     and carries on while some folder's value improves, so cycles end; the
-    files themselves are joined once, to the finished set of folders.
+    files themselves are joined once, to the finished set of folders. A folder
+    that cannot be read is not entered.
     """
     live = live_children(files)
     folders = run.keep(
-        live.filter(F.col("mime_type") == FOLDER).select("file_id", "parent_id"),
+        live.filter(readable_folder()).select("file_id", "parent_id"),
         f"{label}_tree",
     )
-    frontier = run.keep(
+    best = frontier = run.keep(
         roots.groupBy("file_id").agg(_least(F.col("depth"), F.col("seed_pos"))),
         f"{label}_0",
     )
-    rounds = [frontier]
+    rounds = 0
     while not frontier.isEmpty():
-        best = _best(rounds).withColumnRenamed("place", "known")
+        rounds += 1
+        known = best.withColumnRenamed("place", "known")
         parents = frontier.withColumnRenamed("file_id", "parent_id")
         better = F.col("known").isNull() | (F.col("place") < F.col("known"))
         frontier = run.keep(
             folders.join(parents, "parent_id")
-            .join(best, "file_id", "left")
+            .join(known, "file_id", "left")
             .filter(better)
-            .select("file_id", "place"),
-            f"{label}_{len(rounds)}",
+            .groupBy("file_id")
+            .agg(F.min("place").alias("place")),
+            f"{label}_{rounds}",
         )
-        rounds.append(frontier)
-    best = run.keep(_best(rounds), f"{label}_closed")
+        merged = best.unionByName(frontier).groupBy("file_id")
+        best = run.keep(merged.agg(F.min("place").alias("place")), f"{label}_best_{rounds}")
     return (
         live.filter(F.coalesce(F.col("mime_type") != FOLDER, F.lit(True)))
         .join(best.withColumnRenamed("file_id", "parent_id"), "parent_id")
@@ -128,13 +131,6 @@ def _least(depth: Column, seed_pos: Column) -> Column:
     return F.min(place).alias("place")
 
 
-def _best(rounds: list[DataFrame]) -> DataFrame:
-    labelled = rounds[0]
-    for more in rounds[1:]:
-        labelled = labelled.unionByName(more)
-    return labelled.groupBy("file_id").agg(F.min("place").alias("place"))
-
-
 def crawl_edges(run: RunFolder, files: DataFrame, contents: DataFrame) -> DataFrame:
     """The link graph, kept bucketed by source document.
 
@@ -204,8 +200,8 @@ def union_records(
 ) -> DataFrame:
     """All discovered files, one row each, and every unusable seed.
 
-    A file found by link and by folder keeps the link's row, at the lesser
-    depth. Folders give no row of their own.
+    A file found by link and by folder keeps the link's row, with the lesser
+    ``(depth, seed_pos)`` of the two. Folders give no row of their own.
     """
     columns = ("file_id", "link", "title", "status", "depth", "seed_pos")
     metadata = files.select("file_id", "name", "mime_type", "http_status")
@@ -227,12 +223,10 @@ def union_records(
     found = (
         by_link.unionByName(by_folder)
         .groupBy("file_id")
-        .agg(
-            F.min(row).alias("row"),
-            F.min("depth").alias("depth"),
-            F.min("seed_pos").alias("seed_pos"),
+        .agg(F.min(row).alias("row"), _least(F.col("depth"), F.col("seed_pos")))
+        .select(
+            "file_id", "row.link", "row.title", "row.status", "place.depth", "place.seed_pos"
         )
-        .select("file_id", "row.link", "row.title", "row.status", "depth", "seed_pos")
     )
     unusable = seeds.filter(F.col("file_id").isNull()).select(
         "file_id", F.col("url").alias("link"), F.lit(0).alias("depth"), "seed_pos"

@@ -42,9 +42,11 @@ def url_overrides(index: DataFrame) -> DataFrame:
     """URL keys that lead to another record than the file ID in the URL does.
 
     For every other URL key, looking up the file ID gives the same record, so
-    this (usually tiny) part of the index is all that exact matching needs.
+    this (usually tiny) part of the index is all that exact matching needs. A
+    record whose link names no file is no override: links that resolve name one,
+    or are looked up by their URL in the index itself.
     """
-    by_url = index.filter(F.col("key") == F.col("link"))
+    by_url = index.filter((F.col("key") == F.col("link")) & F.col("record_id").isNotNull())
     by_id = index.select(
         F.col("key").alias("record_id"), F.col("rec_pos").alias("id_rec_pos")
     )

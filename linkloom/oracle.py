@@ -216,7 +216,8 @@ _STEPS["published"] = f"""
   || 'title: ' || {_quoted('title')} || chr(10) || '---' || chr(10) || chr(10) || body AS content
  FROM bodies"""
 _STEPS["folder_rows"] = f"""
- SELECT file_id, parent_id FROM fx_files WHERE NOT trashed AND mime_type = '{_WORKSPACE}folder'"""
+ SELECT file_id, parent_id FROM fx_files
+ WHERE NOT trashed AND http_status = 200 AND mime_type = '{_WORKSPACE}folder'"""
 _STEPS["file_rows"] = f"""
  SELECT * FROM fx_files WHERE NOT trashed AND mime_type <> '{_WORKSPACE}folder'"""
 
@@ -257,8 +258,8 @@ def _canonical(file_id: str, mime: str) -> str:
 
 _STEPS["found"] = f"""
  SELECT r.file_id, r.link, CASE WHEN f.http_status = 200 THEN f.name ELSE r.file_id END AS title,
-  {_STATUS} AS status, least(r.depth, coalesce(b.depth, r.depth)) AS depth,
-  least(r.seed_pos, coalesce(b.seed_pos, r.seed_pos)) AS seed_pos
+  {_STATUS} AS status, CASE WHEN (b.depth, b.seed_pos) < (r.depth, r.seed_pos) THEN b.depth ELSE r.depth END AS depth,
+  CASE WHEN (b.depth, b.seed_pos) < (r.depth, r.seed_pos) THEN b.seed_pos ELSE r.seed_pos END AS seed_pos
  FROM reached r LEFT JOIN fx_files f USING (file_id) LEFT JOIN below_reached b ON b.file_id = r.file_id
  WHERE NOT (f.file_id IS NOT NULL AND f.http_status = 200 AND f.mime_type = '{_WORKSPACE}folder')
  UNION ALL

@@ -27,8 +27,11 @@ def discover(
     """
     run = RunFolder(seeds.sparkSession, "discover")
     seeds = with_file_id(seeds, "url")
-    edges = crawl_edges(run, files, contents)
     crawl = crawl_through_folders if crawl_folder_children else crawl_links_only
-    linked, listed = crawl(run, seeds, files, edges, max_depth)
-    run.forget_bucketed("edges")
+    try:
+        # At depth 0 no link is followed and no text is read.
+        edges = crawl_edges(run, files, contents) if max_depth > 0 else None
+        linked, listed = crawl(run, seeds, files, edges, max_depth)
+    finally:
+        run.forget_bucketed("edges")
     return union_records(seeds, linked, listed, files)

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.operators.storage import RunFolder
+
 
 def read_markdown_tree(spark: SparkSession, directory: str) -> DataFrame:
     """``(path, content)`` of every ``.md`` file below a directory.
@@ -29,13 +31,19 @@ def write_document_table(documents: DataFrame, path: str, mode: str = "overwrite
     _published(documents).write.mode(mode).parquet(path)
 
 
-def write_markdown_tree(documents: DataFrame, directory: str = "") -> int:
-    """Write one file per document and return how many were written.
+def write_markdown_tree(documents: DataFrame, directory: str = "") -> DataFrame:
+    """Write one file per document; ``(path, error)`` of each, ``error`` null if written.
 
-    Paths lie below ``directory`` (a path or a URI), when it is given; that place
-    must be visible to every executor. A file is written under another name and
-    then moved, so a task that is run again leaves whole files only.
+    ``documents`` is a result of ``convert`` or of ``sync``; rows without content
+    are passed over. Paths lie below ``directory``, when it is given. On a cluster
+    that must be a URI of a place that all executors share. A name that cannot be
+    written is that document's error and ends nothing. A file is written under
+    another name in its folder and then moved, so a task that is run again leaves
+    whole files only.
     """
+    spark = documents.sparkSession
+    if "://" not in directory and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster, name a shared directory by its URI")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -44,21 +52,43 @@ def write_markdown_tree(documents: DataFrame, directory: str = "") -> int:
             system, root = fs.FileSystem.from_uri(directory)
         else:
             system, root = fs.LocalFileSystem(), directory
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                target = f"{root.rstrip('/')}/{path.as_py()}" if root else path.as_py()
-                if "/" in target:
-                    system.create_dir(target.rpartition("/")[0], recursive=True)
-                part = f"{target}.{uuid.uuid4().hex}.part"
+        below = root.rstrip("/").encode() + b"/" if root else b""
+
+        def put(target: bytes, content: pa.Scalar) -> None:
+            folder, slash, _ = target.rpartition(b"/")
+            if folder:
+                system.create_dir(folder, recursive=True)
+            part = folder + slash + uuid.uuid4().hex.encode() + b".part"
+            try:
                 with system.open_output_stream(part) as out:
                     out.write(content.as_buffer())
                 system.move(part, target)
-            yield pa.RecordBatch.from_pydict({"written": [batch.num_rows]})
+            except OSError:
+                if system.get_file_info([part.decode()])[0].type != fs.FileType.NotFound:
+                    system.delete_file(part)
+                raise
 
-    rows = _published(documents).select("path", F.col("content").cast("binary"))
-    total = rows.mapInArrow(write, "written long").agg(F.sum("written")).first()[0]
-    return total or 0
+        for batch in batches:
+            errors = []
+            for name, content in zip(batch["name"], batch["content"]):
+                try:
+                    put(below + name.as_py(), content)
+                    errors.append(None)
+                except (OSError, ValueError, pa.ArrowException) as failure:
+                    errors.append(f"failed to write file: {failure}")
+            told = pa.array(errors, pa.string())
+            yield pa.RecordBatch.from_arrays([batch["name"], told], names=["name", "error"])
+
+    # Names travel as bytes: one that was cut inside a character is no valid text.
+    rows = _published(documents).select(
+        F.col("path").cast("binary").alias("name"), F.col("content").cast("binary")
+    )
+    told = rows.mapInArrow(write, "name binary, error string")
+    return RunFolder(spark, "written").keep(
+        told.select(F.col("name").cast("string").alias("path"), "error"), "files"
+    )
 
 
 def _published(documents: DataFrame) -> DataFrame:
-    return documents.filter(F.col("content").isNotNull()).select("path", "content")
+    path = "path" if "path" in documents.columns else "file_path"
+    return documents.filter(F.col("content").isNotNull()).select(F.col(path).alias("path"), "content")

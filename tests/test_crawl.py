@@ -1,5 +1,6 @@
 """Link closure, folder closure and the discovery pipeline."""
 
+import importlib
 import random
 
 import pytest
@@ -9,6 +10,8 @@ from linkloom.operators import crawl, storage
 from linkloom.operators.links import with_file_id
 from linkloom.operators.metadata import attach_metadata, classify_access
 
+discover_plan = importlib.import_module("linkloom.plans.discover")
+
 DOC = "application/vnd.google-apps.document"
 FOLDER = "application/vnd.google-apps.folder"
 FILES = (
@@ -153,6 +156,31 @@ def test_folders_are_listed_to_the_end(spark):
     }
 
 
+def test_folders_that_cannot_be_read_are_not_entered(spark):
+    seed = "https://drive.google.com/drive/folders/top"
+    files = [file("top", FOLDER), file("shut", FOLDER, "top", status=403), file("below", FOLDER, "shut")]
+    files += [file("a", DOC, "top"), file("b", DOC, "shut"), file("c", DOC, "below")]
+    assert ids(discover(*tables(spark, [seed], files, {"a": "x"}))) == {"a"}
+
+
+def test_no_text_is_read_at_depth_0(spark, monkeypatch):
+    def unwanted(*_):
+        raise AssertionError("texts were read")
+
+    monkeypatch.setattr(discover_plan, "crawl_edges", unwanted)
+    data = tables(spark, [url("a")], [file("a"), file("b")], {"a": url("b")})
+    for through in (False, True):
+        assert ids(discover(*data, max_depth=0, crawl_folder_children=through)) == {"a"}
+
+
+def test_place_comes_from_one_reference(spark):
+    """A link of an early seed and a nearer folder of a later one."""
+    seeds = [url("s"), "https://drive.google.com/drive/folders/top"]
+    files = [file("s"), file("top", FOLDER), file("f", DOC, "top")]
+    found = rows(discover(*tables(spark, seeds, files, {"s": url("f")})))
+    assert ("f", url("f"), "Name f", "available", 0, 1) in found
+
+
 def test_folder_cycles_end(spark):
     run = storage.RunFolder(spark, "test")
     files = [file("x", FOLDER, "y"), file("y", FOLDER, "x"), file("d", DOC, "y")]

@@ -1,6 +1,7 @@
 """CSV inputs, the discovery report and Markdown trees."""
 
 import csv
+import os
 
 import pytest
 
@@ -131,8 +132,9 @@ def test_markdown_tree_round_trip(spark, tmp_path):
         "path string, content string",
     )
     (tmp_path / "notes.txt").write_text("not markdown")
-    assert markdown_tree.write_markdown_tree(docs, str(tmp_path)) == 2
-    assert markdown_tree.write_markdown_tree(docs, f"file://{tmp_path}") == 2
+    for directory in (str(tmp_path), f"file://{tmp_path}"):
+        told = markdown_tree.write_markdown_tree(docs, directory).collect()
+        assert sorted((r.path, r.error) for r in told) == [("a.md", None), ("deep/er/b c.md", None)]
     read = markdown_tree.read_markdown_tree(spark, str(tmp_path)).collect()
     assert {r.path: r.content for r in read} == {
         f"{tmp_path}/a.md": "---\ntitle: é\n---\n\nx",
@@ -141,6 +143,20 @@ def test_markdown_tree_round_trip(spark, tmp_path):
     assert not list(tmp_path.rglob("*.part"))
 
 
+def test_names_that_cannot_be_written_are_errors_of_their_rows(spark, tmp_path):
+    cut = "é".encode()[:1]
+    names = [b"x" * 252 + b".md", "é".encode() * 126 + b".md", b"y" * 256 + b".md", b"a/" + cut + b"/z.md", b"file", b"file/in.md"]
+    (tmp_path / "file").write_text("in the way")
+    docs = spark.createDataFrame([(n, "text") for n in names], "name binary, content string").selectExpr(
+        "CAST(name AS STRING) AS file_path", "content", "'updated' AS status"
+    )
+    told = markdown_tree.write_markdown_tree(docs, str(tmp_path))
+    failed = told.filter("error IS NOT NULL").selectExpr("CAST(path AS BINARY) AS name").collect()
+    assert sorted(bytes(r.name) for r in failed) == [b"file/in.md", names[2]]
+    written = {os.path.relpath(os.path.join(d, f), os.fsencode(tmp_path)) for d, _, fs in os.walk(os.fsencode(tmp_path)) for f in fs}
+    assert written == {names[0], names[1], names[3], b"file"}
+
+
 def test_document_table(spark, tmp_path):
     docs = spark.createDataFrame(
         [("a.md", "x", 1), ("b.md", None, 2)], "path string, content string, n int"
