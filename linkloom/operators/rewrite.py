@@ -24,13 +24,20 @@ from linkloom.operators.storage import RunFolder
 
 
 def texts_of(run: RunFolder, contents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of the documents that are ``wanted``.
+    """One text of each document that is ``wanted``.
 
     The wanted IDs are kept as a table, so Spark knows their size: it sends them
-    to the scan when they are small and shuffles both sides when they are not.
+    to the scan when they are small and shuffles both sides when they are not. Of
+    several texts of a document the least that is not null counts; finding such
+    documents moves IDs only.
     """
     ids = run.keep(wanted.select("file_id").distinct(), "wanted")
-    return contents.join(ids, "file_id", "left_semi")
+    texts = contents.filter("markdown IS NOT NULL").join(ids, "file_id", "left_semi")
+    repeated = run.keep(texts.groupBy("file_id").count().filter("count > 1").select("file_id"), "repeated")
+    if repeated.isEmpty():
+        return texts
+    one = texts.join(repeated, "file_id", "left_semi").groupBy("file_id").agg(F.min("markdown").alias("markdown"))
+    return texts.join(repeated, "file_id", "left_anti").unionByName(one)
 
 
 def _repaired(repair: bool) -> Column:

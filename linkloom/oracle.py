@@ -391,23 +391,64 @@ _STEPS["index_links"] = _STEPS["text_links"].replace("text_sources", "index_sour
 _STEPS["all_texts"] = _rewritten("index_links", "index_sources")
 
 
-def _needed(sql: str) -> list[str]:
+def _levels_through_folders(depth: int) -> dict[str, str]:
+    """As ``_closure_levels``, where files below a level's folders are sources too."""
+    steps = _closure_levels(depth)
+    for level in range(depth):
+        def earlier(name: str) -> str:
+            ids = " UNION ALL ".join(f"SELECT file_id FROM {name}_{i}" for i in range(level))
+            return f"file_id NOT IN ({ids})" if level else "TRUE"
+
+        steps[f"folders_{level}"] = _STEPS["seed_folders"].replace("level_0", f"level_{level}")
+        steps[f"below_{level}"] = _descendants(f"folders_{level}")
+        steps[f"sources_{level}"] = f"""
+ SELECT file_id, min(seed_pos) AS seed_pos FROM (
+  SELECT file_id, seed_pos FROM level_{level}
+  UNION ALL SELECT file_id, seed_pos FROM below_{level} WHERE {earlier('below')})
+ WHERE {earlier('sources')} GROUP BY file_id"""
+        steps[f"level_{level + 1}"] = steps[f"level_{level + 1}"].replace(
+            f"JOIN level_{level} f", f"JOIN sources_{level} f"
+        )
+    return steps
+
+
+#: Queries that are another one with some steps replaced.
+_VARIANTS = {
+    "published_unrepaired": (
+        "published_docs", {"repaired": "SELECT file_id, markdown AS text FROM fx_contents"}
+    ),
+    "published_unique_links": ("published_docs", {"keyed": """
+ SELECT n.link AS key, n.* FROM unique_names n
+ UNION ALL SELECT n.record_id AS key, n.* FROM unique_names n WHERE n.record_id IS NOT NULL"""}),
+    "discovered_seeds_only": ("discovered", {"reached": "SELECT * FROM level_0"}),
+    "discovered_through_folders": ("discovered", _levels_through_folders(5)),
+}
+_STEPS["unique_names"] = """
+ SELECT r.* REPLACE (coalesce(regexp_extract(p.path, '[^/]*$'), r.file_name) AS file_name)
+ FROM records r JOIN placed p USING (rec_pos)"""
+
+
+def _needed(sql: str, steps: dict[str, str]) -> list[str]:
     """Steps used by a query, each after the ones it uses itself."""
     order: list[str] = []
 
     def visit(text: str) -> None:
-        for name in _STEPS:
+        for name in steps:
             if name not in order and re.search(rf"(?:FROM|JOIN) {name}\b", text):
-                visit(_STEPS[name])
+                visit(steps[name])
                 order.append(name)
 
     visit(sql)
     return order
 
 
+def _with_steps(sql: str, steps: dict[str, str]) -> str:
+    listed = ",\n".join(f"{step} AS ({steps[step]})" for step in _needed(sql, steps))
+    return f"WITH {listed}\n{sql.strip()}"
+
+
 def all_oracles() -> dict[str, str]:
-    queries = {}
-    for name, sql in _RESULTS.items():
-        steps = ",\n".join(f"{step} AS ({_STEPS[step]})" for step in _needed(sql))
-        queries[name] = f"WITH {steps}\n{sql.strip()}"
+    queries = {name: _with_steps(sql, _STEPS) for name, sql in _RESULTS.items()}
+    for name, (base, replaced) in _VARIANTS.items():
+        queries[name] = _with_steps(_RESULTS[base], _STEPS | replaced)
     return queries

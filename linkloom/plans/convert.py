@@ -25,11 +25,14 @@ METADATA = ("file_id", "mime_type", "modified_time", "http_status")
 _RESULT = ("rec_pos", "link", "title", "file_id", "route", "error", "path", "content")
 
 
-def file_facts(files: DataFrame, contents: DataFrame) -> DataFrame:
+def file_facts(files: DataFrame, contents: DataFrame, wanted: DataFrame) -> DataFrame:
     """Metadata of each file and whether its text is there: one or more, not null.
 
-    A missing revision is the empty one.
+    Only files with their ID in ``wanted`` are looked at, so that a few records do
+    not shuffle the whole snapshot. A missing revision is the empty one.
     """
+    ids = wanted.select("file_id").distinct()
+    files, contents = (df.join(ids, "file_id", "left_semi") for df in (files, contents))
     there = contents.filter("markdown IS NOT NULL").select("file_id").distinct()
     present = there.withColumn("has_content", F.lit(True))
     revision = F.coalesce("modified_time", F.lit("")).alias("modified_time")
@@ -47,7 +50,7 @@ def _planned(
     records = run.keep(with_placement(inventory), "records")
     named = records.withColumnRenamed("record_id", "file_id")
     spread = measure_spread(named, "file_id")
-    known = attach_metadata(named, file_facts(files, contents), spread)
+    known = attach_metadata(named, file_facts(files, contents, named), spread)
     routed = run.keep(
         plan_paths(require_content(route_documents(known)), base), "routed"
     )

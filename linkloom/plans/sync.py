@@ -44,10 +44,10 @@ def sync(
     overrides = run.keep(url_overrides(index), "overrides")
 
     records = index.select(F.col("key").alias("file_id"), "rec_pos", "dirs")
-    facts = file_facts(files, contents).join(records, "file_id", "left")
     headers = run.keep(
         read_headers(md_files).withColumnRenamed("path", "file_path"), "headers"
     )
+    facts = file_facts(files, contents, headers).join(records, "file_id", "left")
     spread = measure_spread(headers, "file_id")
     known = attach_metadata(headers, facts, spread, row_id="file_path")
     judged = run.keep(detect_changes(known), "judged")

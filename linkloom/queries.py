@@ -58,7 +58,7 @@ def access_status(fx: Fixtures) -> DataFrame:
 
 def _routed(fx: Fixtures) -> DataFrame:
     records = links.with_file_id(fx.inventory)
-    facts = file_facts(fx.files, fx.contents)
+    facts = file_facts(fx.files, fx.contents, records)
     return publish.require_content(
         publish.route_documents(metadata.attach_metadata(records, facts))
     )
@@ -148,6 +148,16 @@ def published_docs(fx: Fixtures) -> DataFrame:
     return _converted(fx).select("rec_pos", "route", "error", "path", "content")
 
 
+def published_unrepaired(fx: Fixtures) -> DataFrame:
+    docs = convert(fx.inventory, fx.files, fx.contents, BASE, repair=False)
+    return docs.select("rec_pos", "route", "error", "path", "content")
+
+
+def published_unique_links(fx: Fixtures) -> DataFrame:
+    docs = convert(fx.inventory, fx.files, fx.contents, BASE, link_to_unique=True)
+    return docs.select("rec_pos", "route", "error", "path", "content")
+
+
 def convert_summary(fx: Fixtures) -> DataFrame:
     return summaries.convert_summary(_converted(fx))
 
@@ -173,6 +183,14 @@ def discovered(fx: Fixtures) -> DataFrame:
     return crawl.order_discovered(discover(fx.seeds, fx.files, fx.contents))
 
 
+def discovered_seeds_only(fx: Fixtures) -> DataFrame:
+    return discover(fx.seeds, fx.files, fx.contents, max_depth=0)
+
+
+def discovered_through_folders(fx: Fixtures) -> DataFrame:
+    return discover(fx.seeds, fx.files, fx.contents, crawl_folder_children=True)
+
+
 def status_counts(fx: Fixtures) -> DataFrame:
     return summaries.discovery_summary(discover(fx.seeds, fx.files, fx.contents))
 
@@ -220,10 +238,14 @@ _QUERIES = (
     rewritten_docs,
     conversion_plan,
     published_docs,
+    published_unrepaired,
+    published_unique_links,
     convert_summary,
     folder_closure,
     link_closure,
     discovered,
+    discovered_seeds_only,
+    discovered_through_folders,
     status_counts,
     front_matter,
     sync_results,

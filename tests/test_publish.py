@@ -470,3 +470,14 @@ def test_empty_index_leaves_repaired_text(spark):
     assert rewritten(spark, [text], records(spark, ("none", "N", ""))) == [
         f"[a]({url('a')}) x\\_y {url('b')}_c"
     ]
+
+
+def test_one_text_of_a_repeated_document_counts(spark):
+    inventory_rows = records(spark, (url("a"), "A", ""), (url("b"), "B", ""))
+    found = files(spark, ("a", DOC, "r", 200), ("b", DOC, "r", 200))
+    link = f"[b]({url('b')})"
+    texts = [("a", f"first {link}"), ("a", f"second {link} {link}"), ("a", None), ("b", "text of b")]
+    rows = convert(inventory_rows, found, spark.createDataFrame(texts, "file_id string, markdown string")).collect()
+    assert sorted((r.rec_pos, r.error) for r in rows) == [(0, None), (1, None)]
+    body = next(r.content for r in rows if r.rec_pos == 0)
+    assert "first [b](" in body and "second" not in body and "docs.google.com/document/d/b" not in body
