@@ -79,6 +79,7 @@ def test_files_of_one_folder(spark, low_limits):
             F.lit("application/pdf").alias("mime_type"),
             F.col("name").alias("parent_id"),
             F.lit(False).alias("trashed"),
+            F.lit(200).alias("http_status"),
         ),
         "files",
     )
