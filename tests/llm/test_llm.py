@@ -149,6 +149,38 @@ def test_near_dedup_keeps_the_least_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 9] and kept.columns == docs(spark, []).columns
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_pipeline_near_dedup_drops_edited_copies(spark):
+    rng = random.Random(10)
+    texts, groups = [], []
+    for n in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        edited = list(words)
+        for at in rng.sample(range(300), 1 + n % 6):
+            edited[at] = "edited"
+        half = words[:200] + [f"v{rng.randrange(5000)}" for _ in range(100)]
+        texts += [" ".join(words), " ".join(edited), " ".join(half)]
+        groups.append(jaccard(texts[-3], texts[-2]))
+        assert jaccard(texts[-3], texts[-1]) < 0.6
+    assert min(groups) < 0.83 and max(groups) > 0.95
+    near = [g >= 0.8 for g in groups]
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, texts), "").collect()}
+    assert {3 * n for n in range(150)} | {3 * n + 2 for n in range(150)} <= kept
+    found = sum(3 * n + 1 not in kept for n in range(150) if near[n])
+    assert found >= 0.98 * sum(near) and all(3 * n + 1 in kept for n in range(150) if not near[n])
+
+
+def test_near_copies_are_joined_past_the_first_of_a_band(spark):
+    words = [f"w{i}" for i in range(300)]
+    chain = [" ".join(words[i * 12 : i * 12 + 200]) for i in range(8)]
+    kept = corpus_pipeline.near_dedup(spark, docs(spark, chain), "").collect()
+    assert jaccard(chain[0], chain[7]) < 0.8 <= min(jaccard(a, b) for a, b in itertools.pairwise(chain)) and [r.doc_id for r in kept] == [0]
+
+
 def test_host_reputation_blocks_bad_hosts_only(spark):
     rows = [("bad.example.com", 0)] * 40 + [("good.example.com", 1)] * 40 + [("new.example.com", None), ("one.example.com", 0)]
     rated = {r.host: r for r in url_filter.rate_hosts(spark.createDataFrame(rows, "host string, good int"), RunFolder(spark, "test")).collect()}
