@@ -3,13 +3,16 @@
 The tree has a fixed depth: the number of tokens of a line, then its leading
 tokens. Tokens with digits are variable fields from the start. Within a leaf, a
 place whose token varies from line to line becomes a variable field of the leaf's
-template. Lines of a template that recurs across documents are dropped.
+template. Lines of a template that recurs across documents are dropped, whatever
+share of a document they are. Equal and near-equal texts count as one document, so
+that copies do not make their own lines recur.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import text_key
+from linkloom.llm.near_texts import near_classes
 from linkloom.operators.storage import RunFolder
 
 FIELD = "<*>"
@@ -17,15 +20,11 @@ FIELD = "<*>"
 DEPTH = 4
 #: Lines of fewer tokens are never dropped: in prose they recur by chance.
 LEAST_TOKENS = 5
-#: Documents in which a template has to occur.
+#: Documents in which a template has to occur; near-equal texts are one.
 LEAST_DOCS = 3
 #: Share of a leaf's lines that must agree on a place's token, and of a line's
 #: places that must be fixed in the template and agree with it, in hundredths.
 AGREE, FIXED = 60, 60
-#: A document that would lose more than this share of its longer lines, in
-#: hundredths, is a copy as a whole. Those are left to the dedup of documents: else
-#: every copy would lose its text, the first one too.
-MOST = 50
 
 # A word with a digit in it. It starts after a blank, so long runs are passed once.
 _VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
@@ -98,12 +97,15 @@ def _first_texts(docs: DataFrame, text: str, doc: str, keyed: DataFrame, open_li
 def recurring_lines(docs: DataFrame, text: str, doc: str, keyed: DataFrame, run: RunFolder, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``(line)``: 64-bit keys of the masked lines whose template recurs.
 
-    ``keyed`` holds ``line_keys(docs)`` of the lines that may be dropped. A
-    document counts once for a template it repeats. Counting combines before each
-    shuffle, so a line of all documents costs no more than a rare one.
+    ``keyed`` holds ``line_keys(docs)`` of the lines that may be dropped. A class of
+    near-equal texts counts once for a template it repeats. Counting combines before
+    each shuffle, so a line of all documents costs no more than a rare one.
     """
-    counted = keyed.groupBy("line", "leaf", "doc", "key").agg(F.lit(1).alias("n")).groupBy("line", "leaf").agg(F.count("*").alias("n_docs"))
-    counted = run.keep(counted, "counted")
+    body = F.col(f"`{text}`")
+    near = near_classes(docs.filter(body.isNotNull()).select(text_key(body).alias("key"), body.alias("text")), run)
+    once = keyed.groupBy("line", "leaf", "key").agg(F.lit(1).alias("n")).join(near, "key", "left")
+    held = run.keep(once.select("line", "leaf", F.coalesce("root", "key").alias("class")).distinct(), "held")
+    counted = run.keep(held.groupBy("line", "leaf").agg(F.count("*").alias("n_docs")), "counted")
     same = counted.filter(F.col("n_docs") >= least_docs).select("line")
     # Leaves that several lines of too few documents share may hide a template.
     rare = counted.filter(F.col("n_docs") < least_docs)
@@ -118,9 +120,11 @@ def recurring_lines(docs: DataFrame, text: str, doc: str, keyed: DataFrame, run:
     entries = F.sort_array(F.collect_list(F.struct("place", fixed.alias("token"))))
     templates = most.groupBy("leaf").agg(entries.alias("template"))
     agree = F.size(F.filter(F.zip_with("tokens", F.col("template.token"), lambda a, b: a == b), lambda x: x))
-    near = texts.join(templates, "leaf").filter(agree * 100 >= F.size("tokens") * FIXED).select("line", "leaf", "n_docs")
-    kept = near.groupBy("leaf").agg(F.sum("n_docs").alias("leaf_docs")).filter(F.col("leaf_docs") >= least_docs)
-    return same.union(near.join(kept, "leaf").select("line"))
+    alike = run.keep(texts.join(templates, "leaf").filter(agree * 100 >= F.size("tokens") * FIXED).select("line", "leaf"), "alike")
+    # Variants of a line in one class are one document for their template.
+    found = held.join(alike.select("line"), "line").groupBy("leaf", "class").agg(F.lit(1).alias("n"))
+    kept = found.groupBy("leaf").agg(F.count("*").alias("leaf_docs")).filter(F.col("leaf_docs") >= least_docs)
+    return same.union(alike.join(kept, "leaf").select("line"))
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", depth: int = DEPTH,
@@ -130,19 +134,15 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id
     ``dropped`` is ``(doc, key, places)``: for each text that loses lines, by ID
     and content key, the places of those lines, from 0. ``changed`` is ``docs``
     with those lines cut out of ``text``; other rows are as they were, null and
-    empty texts and copies of whole documents (``MOST``) among them. Rows that
-    agree in ID and text lose the same lines, and an empty table gives empty
-    results.
+    empty texts among them. Rows that agree in ID and text lose the same lines,
+    and an empty table gives empty results.
     """
     run = RunFolder(docs.sparkSession, "line_dedup")
     body = F.col(f"`{text}`")
     keyed = run.keep(line_keys(docs, text, doc, depth, least_tokens), "keyed").filter(F.col("n") >= least_tokens)
     recurring = run.keep(recurring_lines(docs, text, doc, keyed, run, least_docs), "recurring")
-    long = keyed.groupBy("doc", "key").agg(F.count_distinct("place").alias("n_long"))
     hit = keyed.join(recurring, "line").groupBy("doc", "key").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    same = hit["doc"].eqNullSafe(long["doc"]) & (hit["key"] == long["key"])
-    some = hit.join(long, same).filter(F.size("places") * 100 <= F.col("n_long") * MOST)
-    dropped = run.keep(some.select(hit["doc"], hit["key"], "places"), "dropped")
+    dropped = run.keep(hit, "dropped")
     names = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{doc}`").alias("doc"), text_key(body).alias("key"))
     lost = dropped.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "places").hint("shuffle_hash")

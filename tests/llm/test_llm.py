@@ -277,6 +277,27 @@ def test_copies_of_whole_documents_keep_their_lines(spark):
     assert {r.text for r in changed.collect()} == {text}
 
 
+def test_recurring_lines_go_whatever_share_they_are(spark):
+    lines = ["this page is shared under the licence of the wiki", "back to the top of the whole index"]
+    own = [f"{w} has a line of its own on {w} alone" for w in ("salt", "tin", "rain", "oak")]
+    texts = ["\n".join([*lines, own[0]]), "\n".join([*lines, own[1]]), lines[0], "\n".join([lines[1], own[2]]), "\n".join([own[3], *lines])]
+    changed, _ = line_dedup.drop_recurring_lines(docs(spark, texts))
+    assert [r.text for r in changed.orderBy("doc_id").collect()] == [own[0], own[1], "", own[2], own[3]]
+
+
+def test_near_copies_do_not_make_their_lines_recur(spark):
+    rng = random.Random(11)
+    lines = [[f"w{rng.randrange(3000)}x".translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(30)] for _ in range(10)]
+    texts = []
+    for n in range(5):
+        edited = [list(x) for x in lines]
+        edited[n][20] = "edited"
+        edited[9][10 + n] = "edited"
+        texts.append("\n".join(" ".join(x) for x in edited))
+    changed, dropped = line_dedup.drop_recurring_lines(docs(spark, texts))
+    assert dropped.count() == 0 and [r.text for r in changed.orderBy("doc_id").collect()] == texts
+
+
 def test_planted_passages_are_found(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
