@@ -11,15 +11,16 @@ that copies do not make their own lines recur.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import text_key
+from linkloom.llm.common import BLANKS, text_key
 from linkloom.llm.near_texts import near_classes
 from linkloom.operators.storage import RunFolder
 
 FIELD = "<*>"
 #: Leading tokens on the path to a leaf.
 DEPTH = 4
-#: Lines of fewer tokens are never dropped: in prose they recur by chance.
-LEAST_TOKENS = 5
+#: Lines of fewer tokens have no template. In prose they recur by chance, so they are
+#: dropped where the very same line is in ``SHORT_DOCS`` documents or more.
+LEAST_TOKENS, SHORT_DOCS = 5, 5
 #: Documents in which a template has to occur; near-equal texts are one.
 LEAST_DOCS = 3
 #: Share of a leaf's lines that must agree on a place's token, and of a line's
@@ -64,15 +65,16 @@ def leaf_of(line: Column, depth: int = DEPTH) -> Column:
 def line_keys(docs: DataFrame, text: str, doc: str, depth: int, least_tokens: int) -> DataFrame:
     """``(doc, key, place, line, leaf, n)``: hashes of lines, where they are, their tokens.
 
-    Places count from 0 and follow ``split``. Lines too short to have
-    ``least_tokens`` are left out where that is plain; the rest is told by ``n``.
+    Places count from 0 and follow ``split``. Lines of fewer than ``least_tokens`` go
+    by all their tokens, variable ones too; blank lines are left out.
     """
     body = F.col(f"`{text}`")
     lines = docs.select(F.col(f"`{doc}`").alias("doc"), text_key(body).alias("key"), F.posexplode(F.split(body, "\n", -1)).alias("place", "raw"))
-    # A line of n tokens has n - 1 blanks between them and n letters at least.
-    lines = lines.filter(F.length("raw") >= 2 * least_tokens - 1)
-    shown = lines.select("doc", "key", "place", masked(F.col("raw")).alias("line"))
-    return shown.select("doc", "key", "place", F.xxhash64("line").alias("line"), leaf_of(F.col("line"), depth).alias("leaf"), n_tokens(F.col("line")).alias("n"))
+    shown = lines.select("doc", "key", "place", "raw", masked(F.col("raw")).alias("line")).filter("line <> ''")
+    n = n_tokens(F.col("line"))
+    whole = F.regexp_replace(F.btrim("raw", F.lit(BLANKS)), _BLANK_RUN, " ")
+    line = F.when(n < least_tokens, F.xxhash64(F.lit("short"), whole)).otherwise(F.xxhash64("line"))
+    return shown.select("doc", "key", "place", line.alias("line"), leaf_of(F.col("line"), depth).alias("leaf"), n.alias("n"))
 
 
 def _first_texts(docs: DataFrame, text: str, doc: str, keyed: DataFrame, open_lines: DataFrame) -> DataFrame:
@@ -94,7 +96,7 @@ def _first_texts(docs: DataFrame, text: str, doc: str, keyed: DataFrame, open_li
     return one.join(open_lines, "line").select("line", "leaf", "n_docs", F.split(masked(F.col("raw")), " ").alias("tokens"))
 
 
-def recurring_lines(docs: DataFrame, text: str, doc: str, keyed: DataFrame, run: RunFolder, least_docs: int = LEAST_DOCS) -> DataFrame:
+def recurring_lines(docs: DataFrame, text: str, doc: str, keyed: DataFrame, run: RunFolder, least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS, short_docs: int = SHORT_DOCS) -> DataFrame:
     """``(line)``: 64-bit keys of the masked lines whose template recurs.
 
     ``keyed`` holds ``line_keys(docs)`` of the lines that may be dropped. A class of
@@ -103,12 +105,13 @@ def recurring_lines(docs: DataFrame, text: str, doc: str, keyed: DataFrame, run:
     """
     body = F.col(f"`{text}`")
     near = near_classes(docs.filter(body.isNotNull()).select(text_key(body).alias("key"), body.alias("text")), run)
-    once = keyed.groupBy("line", "leaf", "key").agg(F.lit(1).alias("n")).join(near, "key", "left")
-    held = run.keep(once.select("line", "leaf", F.coalesce("root", "key").alias("class")).distinct(), "held")
-    counted = run.keep(held.groupBy("line", "leaf").agg(F.count("*").alias("n_docs")), "counted")
-    same = counted.filter(F.col("n_docs") >= least_docs).select("line")
+    once = keyed.groupBy("line", "leaf", "n", "key").agg(F.lit(1).alias("one")).join(near, "key", "left")
+    held = run.keep(once.select("line", "leaf", "n", F.coalesce("root", "key").alias("class")).distinct(), "held")
+    counted = run.keep(held.groupBy("line", "leaf", "n").agg(F.count("*").alias("n_docs")), "counted")
+    short = F.col("n") < least_tokens
+    same = counted.filter(F.col("n_docs") >= F.when(short, short_docs).otherwise(least_docs)).select("line")
     # Leaves that several lines of too few documents share may hide a template.
-    rare = counted.filter(F.col("n_docs") < least_docs)
+    rare = counted.filter(~short & (F.col("n_docs") < least_docs))
     leaves = rare.groupBy("leaf").agg(F.sum("n_docs").alias("n_docs"), F.count("*").alias("n")).filter((F.col("n_docs") >= least_docs) & (F.col("n") > 1))
     open_lines = run.keep(rare.join(leaves.select("leaf"), "leaf").select("line", "leaf", "n_docs"), "open")
     texts = run.keep(_first_texts(docs, text, doc, keyed, open_lines), "open_texts")
@@ -128,7 +131,7 @@ def recurring_lines(docs: DataFrame, text: str, doc: str, keyed: DataFrame, run:
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", depth: int = DEPTH,
-                         least_tokens: int = LEAST_TOKENS, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
+                         least_tokens: int = LEAST_TOKENS, least_docs: int = LEAST_DOCS, short_docs: int = SHORT_DOCS) -> tuple[DataFrame, DataFrame]:
     """``(changed, dropped)``.
 
     ``dropped`` is ``(doc, key, places)``: for each text that loses lines, by ID
@@ -139,8 +142,8 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id
     """
     run = RunFolder(docs.sparkSession, "line_dedup")
     body = F.col(f"`{text}`")
-    keyed = run.keep(line_keys(docs, text, doc, depth, least_tokens), "keyed").filter(F.col("n") >= least_tokens)
-    recurring = run.keep(recurring_lines(docs, text, doc, keyed, run, least_docs), "recurring")
+    keyed = run.keep(line_keys(docs, text, doc, depth, least_tokens), "keyed")
+    recurring = run.keep(recurring_lines(docs, text, doc, keyed, run, least_docs, least_tokens, short_docs), "recurring")
     hit = keyed.join(recurring, "line").groupBy("doc", "key").agg(F.sort_array(F.collect_set("place")).alias("places"))
     dropped = run.keep(hit, "dropped")
     names = docs.columns
