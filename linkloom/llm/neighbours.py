@@ -53,12 +53,16 @@ class Forest:
             found[:, t] = node - self.leaves + t * self.leaves
         return found
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """Cells in the order in which the shared queue reaches them."""
+    def visit(self, query: np.ndarray, most: int, sizes: list[int] | None = None, least: int = 0) -> list[int]:
+        """Cells in the order in which the shared queue reaches them.
+
+        ``most`` of them, and on until those of one tree hold ``least`` vectors by ``sizes``.
+        """
         margins = self.planes @ query - self.cuts
         queue = [(0.0, t, 1) for t in range(len(self.planes))]
         cells: list[int] = []
-        while queue and len(cells) < most:
+        seen = [0] * len(self.planes)
+        while queue and (len(cells) < most or max(seen) < least):
             far, t, node = heapq.heappop(queue)
             while node < self.leaves:
                 m = margins[t, node]
@@ -66,6 +70,7 @@ class Forest:
                 heapq.heappush(queue, (max(far, abs(m)), t, other))
                 node = near
             cells.append(node - self.leaves + t * self.leaves)
+            seen[t] += sizes[cells[-1]] if sizes else 0
         return cells
 
 
@@ -176,17 +181,20 @@ def nearest(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str
     pilot = asked.orderBy(by_hash, "rep").limit(PILOT).select("embedding").toPandas()["embedding"]
     visits = measured_visits(reps, np.array(pilot.tolist(), dtype=float).reshape(-1, dim), forest, dim, k + 1, recall)
 
-    def cells_of(rows: DataFrame, name: str, visiting: bool) -> DataFrame:
+    def cells_of(rows: DataFrame, name: str, sizes: list[int] | None = None) -> DataFrame:
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 points = _matrix(batch["embedding"], dim)
-                found = [forest.visit(p, visits) for p in points] if visiting else forest.assign(points).tolist()
+                found = [forest.visit(p, visits, sizes, min(k + 1, total)) for p in points] if sizes else forest.assign(points).tolist()
                 yield pa.RecordBatch.from_arrays([batch["rep"], batch["embedding"], pa.array(found, pa.list_(pa.int64()))], names=["rep", "embedding", "cells"])
 
         dealt = rows.select("rep", "embedding").mapInArrow(deal, "rep long, embedding array<double>, cells array<long>")
         return run.keep(dealt, name)
 
-    held, asking = cells_of(reps, "held", False), cells_of(asked, "asking", True)
+    held, sizes = cells_of(reps, "held"), [0] * forest.cells
+    for row in held.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():  # at most TREES * MOST_LEAVES rows
+        sizes[row["cell"]] = row["count"]
+    asking = cells_of(asked, "asking", sizes)
 
     def parts(rows: DataFrame, most: int) -> DataFrame:
         counted = rows.select(F.explode("cells").alias("cell")).groupBy("cell").count()
