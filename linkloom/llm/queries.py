@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkloom.llm.conversations import CONVERSATION_SQL, op11_conversation_repair
 from linkloom.llm.divergence import DIVERGENCE_SQL, op13_source_divergence
 from linkloom.llm.histogram_packing import op12_shortest_pack_first
 from linkloom.llm.line_dedup import op7_line_dedup
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_shortest_pack_first": op12_shortest_pack_first,
     "op13_source_divergence": op13_source_divergence,
 }
@@ -36,6 +38,8 @@ SQL: dict[str, str] = {
     "op2_url_filter": URL_FILTER_SQL,
     "op3_source_mixing": MIXING_SQL,
     "op4_quality_rules": QUALITY_SQL,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_shortest_pack_first": op12_shortest_pack_first,
+    "op11_conversation_repair": CONVERSATION_SQL,
     "op13_source_divergence": DIVERGENCE_SQL,
 }
