@@ -38,8 +38,6 @@ SQL: dict[str, str] = {
     "op2_url_filter": URL_FILTER_SQL,
     "op3_source_mixing": MIXING_SQL,
     "op4_quality_rules": QUALITY_SQL,
-    "op11_conversation_repair": op11_conversation_repair,
-    "op12_shortest_pack_first": op12_shortest_pack_first,
     "op11_conversation_repair": CONVERSATION_SQL,
     "op13_source_divergence": DIVERGENCE_SQL,
 }
