@@ -10,6 +10,7 @@ leads to its pattern, its pack and its place there.
 """
 
 import os
+import re
 from bisect import insort
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
@@ -30,12 +31,13 @@ CAPACITY = 2048
 END_MARK = 1
 #: Words whose IDs a task remembers, and the longest of them.
 REMEMBERED, LONGEST_REMEMBERED = 1_000_000, 48
-#: Marks that a word of letters may end with, and the first character beyond the Latin letters.
-MARKS, LATIN_END = ".,;:!?", "\u0250"
 #: Characters of a text that are split into words at once.
 SLICE = 1 << 20
 ROWS_OUT = 20_000
 
+# A single mark after a letter and before a blank is a unit of its own.
+_MARK = re.compile(r"[.,;:!?](?<=[a-zß-öø-ÿ][.,;:!?])(?=[ \n])")
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -96,10 +98,9 @@ def shortest_pack_first(histogram: Mapping[int, int], capacity: int = CAPACITY)
 class Tokens:
     """Token IDs of texts, as little-endian unsigned 32-bit integers.
 
-    The vocabulary splits at blanks before anything else and lower-cases, and a run
-    of letters is a unit of its own, so words are encoded alone, a mark at the
-    end apart, and IDs are remembered. Unknown words of letters go through the
-    vocabulary as one text; its units are told apart by their last tokens.
+    The vocabulary splits at blanks before anything else, so words are encoded
+    alone and their IDs are remembered. Unknown words of letters go through it as
+    one text; each is one unit, told apart by its last token.
     """
 
     def __init__(self, vocabulary: str | None = None):
@@ -115,51 +116,54 @@ class Tokens:
         self._ends_unit = np.zeros(max(tokens.values()) + 1, bool)
         self._ends_unit[[i for token, i in tokens.items() if token.endswith("</w>")]] = True
         self._known: dict[str, bytes] = {}
-        self._units: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
-        distinct = set().union(*words)
-        new = [w for w in distinct if w not in self._known]
+        words = [words_of(text) for text in texts]
+        found = [list(map(self._known.get, w)) for w in words]
+        new = {w for ws, ids in zip(words, found) if None in ids for w, i in zip(ws, ids) if i is None}
         if len(self._known) + len(new) > REMEMBERED:
-            self._known, new = {}, list(distinct)
+            self._known, new = {}, set().union(*words)
         if new:
-            self._learn(new)
-        ids = [b"".join(map(self._known.__getitem__, w)) for w in words]
+            self._learn(list(new))
+            found = [map(self._known.__getitem__, w) if None in ids else ids for w, ids in zip(words, found)]
+        joined = [b"".join(ids) for ids in found]
         for w in new:
             if len(w) > LONGEST_REMEMBERED:
                 del self._known[w]
-        return ids
+        return joined
 
     def _learn(self, words: list[str]) -> None:
-        marked = [(w, w[:-1], w[-1]) if w[-1:] in MARKS and len(w) > 1 else (w, w, "") for w in words]
-        marked = [(w, plain(base), mark) for w, base, mark in marked]
-        if len(self._units) > REMEMBERED:
-            self._units = {}
-        units = self._units
-        new = list({base for _, base, _ in marked if base and base not in units})
-        units.update(zip(new, self._encode_units(new)))
-        units.update((m, self._encode([m])[0]) for m in {mark for *_, mark in marked if mark and mark not in units})
-        rest = [w for w, base, _ in marked if not base]
+        letters = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        self._known.update(zip(letters, self._encode_letters(letters)))
         self._known.update(zip(rest, self._encode(rest)))
-        self._known.update((w, units[base] + units[mark] if mark else units[base]) for w, base, mark in marked if base)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
-    def _encode_units(self, units: list[str]) -> list[bytes]:
-        whole = self._encode([" ".join(units)])[0]
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        whole = self._encode([" ".join(words)])[0]
         ends = 4 * (np.flatnonzero(self._ends_unit[np.frombuffer(whole, "<u4")]) + 1)
-        if len(ends) != len(units):
-            return self._encode(units)
+        if len(ends) != len(words):
+            return self._encode(words)
         return [whole[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
-def plain(word: str) -> str:
-    """The word lower-cased if it is a run of Latin letters, which the vocabulary takes as one unit; else empty."""
-    word = word.lower() if word and max(word) < LATIN_END else ""
-    return word if word.isalpha() else ""
+def words_of(text: str) -> list[str]:
+    """Parts of a text that the vocabulary takes apart anyway: words, and marks at the end of a word.
+
+    Latin letters are lower-cased, as the vocabulary does, so that fewer words
+    are different. A text that may hold one of its special tokens is left as it is.
+    """
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        else:
+            text = _MARK.sub(" \\g<0>", text.lower())
+    return text.replace("\n", " ").replace("\t", " ").split(" ")
 
 
 @cache
