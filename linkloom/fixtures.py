@@ -8,6 +8,9 @@ check start from the same rows.
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkloom.operators.storage import RunFolder
+from linkloom.sources.snapshots import scan_presence, text_presence
+
 _ID = "'doc' || lpad(CAST({0} AS STRING), 22, '0')"
 
 
@@ -47,6 +50,17 @@ SELECT DISTINCT 'fldroot' AS file_id, 'root' AS name,
 FROM documents
 """
 
+# Some documents lie in the folder of their language as well, and some folders in
+# that of the first language.
+PARENTS = f"""
+SELECT file_id AS child, parent_id AS parent FROM ({FILES}) files
+UNION ALL
+SELECT {_doc_id('doc_id')} AS child, 'fld' || lang AS parent FROM documents WHERE doc_id % 9 = 4
+UNION ALL
+SELECT DISTINCT 'fld' || lang || source AS child, 'fld' || (SELECT min(lang) FROM documents) AS parent
+FROM documents WHERE source LIKE '%3' OR source LIKE '%9'
+"""
+
 # Every document links to two others, one in each URL form, to a document that
 # does not exist, to itself, and to the folder it lies in. In some documents a
 # line break and Markdown escapes run through the links.
@@ -132,6 +146,7 @@ FROM documents
 
 VIEWS = {
     "fx_files": FILES,
+    "fx_parents": PARENTS,
     "fx_contents": CONTENTS,
     "fx_seeds": SEEDS,
     "fx_inventory": INVENTORY,
@@ -156,6 +171,9 @@ class Fixtures:
             path = f"{folder}/{name}"
             self._view(name).repartition(partitions).write.parquet(path)
             self.kept[name] = self.spark.read.parquet(path)
+        path = f"{folder}/presence"
+        text_presence(self.contents).write.parquet(path)
+        self.kept["presence"] = scan_presence(self.spark, path)
         return self
 
     def _view(self, name: str) -> DataFrame:
@@ -176,10 +194,22 @@ class Fixtures:
     def files(self) -> DataFrame:
         return self._view("fx_files")
 
+    @property
+    def parents(self) -> DataFrame:
+        return self._view("fx_parents")
+
     @property
     def contents(self) -> DataFrame:
         return self._view("fx_contents")
 
+    @property
+    def presence(self) -> DataFrame:
+        """The table that landing the texts leaves beside them."""
+        if "presence" not in self.kept:
+            run = RunFolder(self.spark, "landed")
+            self.kept["presence"] = run.keep(text_presence(self.contents), "presence")
+        return self.kept["presence"]
+
     @property
     def seeds(self) -> DataFrame:
         return self._view("fx_seeds")

@@ -24,16 +24,16 @@ from linkloom.operators.storage import RunFolder
 
 
 def texts_of(run: RunFolder, contents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One text of each document that is ``wanted``.
+    """One text of each document that is ``wanted(file_id, texts)``.
 
     The wanted IDs are kept as a table, so Spark knows their size: it sends them
     to the scan when they are small and shuffles both sides when they are not. Of
-    several texts of a document the least that is not null counts; finding such
-    documents moves IDs only.
+    several texts of a document the least that is not null counts; which documents
+    have several is known from their number of ``texts``.
     """
-    ids = run.keep(wanted.select("file_id").distinct(), "wanted")
+    ids = run.keep(wanted.groupBy("file_id").agg(F.max("texts").alias("texts")), "wanted")
     texts = contents.filter("markdown IS NOT NULL").join(ids, "file_id", "left_semi")
-    repeated = run.keep(texts.groupBy("file_id").count().filter("count > 1").select("file_id"), "repeated")
+    repeated = ids.filter("texts > 1").select("file_id")
     if repeated.isEmpty():
         return texts
     one = texts.join(repeated, "file_id", "left_semi").groupBy("file_id").agg(F.min("markdown").alias("markdown"))

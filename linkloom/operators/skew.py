@@ -5,8 +5,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.operators.storage import RunFolder
+
 ROWS_PER_SLICE = 20_000
-MAX_BROADCAST_KEYS = 10_000
+#: Hot keys that are sliced, at most, and keys that a sketch keeps count of.
+HOT_KEYS, TRACKED_KEYS = 10_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -47,25 +50,22 @@ class Spread:
 
 
 def measure_spread(
-    many: DataFrame, key: str, rows_per_slice: int = ROWS_PER_SLICE
+    run: RunFolder, many: DataFrame, key: str, rows_per_slice: int = ROWS_PER_SLICE
 ) -> Spread:
     """Find the keys of ``many`` that hold more rows than one slice may.
 
-    Counting combines before its shuffle, so a hot key costs no more than any
-    other. The hot keys are broadcast when there are at most
-    ``MAX_BROADCAST_KEYS`` of them, which bounds what is fetched and sent;
-    beyond that they are joined as an ordinary table.
+    They come from a sketch of frequent items, of fixed size in every task, so
+    neither all keys nor all counts are shuffled. It overlooks no key with more than about
+    four in ``TRACKED_KEYS`` of all rows, and counts at most that much too high, which
+    costs a few slices and changes no row. The at most ``HOT_KEYS`` keys are a
+    table of the run, which Spark knows the size of.
     """
+    top = F.call_function("approx_top_k", F.col(key), F.lit(HOT_KEYS), F.lit(TRACKED_KEYS))
+    found = many.filter(F.col(key).isNotNull()).agg(top.alias("top"))
     hot = (
-        many.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count("*").alias("_rows"))
-        .filter(F.col("_rows") > rows_per_slice)
-        .select(key, F.ceil(F.col("_rows") / rows_per_slice).alias("_slices"))
+        found.select(F.inline("top"))
+        .filter(F.col("count") > rows_per_slice)
+        .select(F.col("item").alias(key), F.ceil(F.col("count") / rows_per_slice).alias("_slices"))
     )
-    known = hot.limit(MAX_BROADCAST_KEYS + 1).collect()
-    if not known:
-        return Spread(key, None)
-    if len(known) > MAX_BROADCAST_KEYS:
-        return Spread(key, hot)
-    return Spread(key, F.broadcast(many.sparkSession.createDataFrame(known, hot.schema)))
+    hot = run.keep(hot, f"hot_{key}")
+    return Spread(key, None if hot.isEmpty() else hot)

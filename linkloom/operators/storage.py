@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -60,3 +61,22 @@ class RunFolder:
     def forget_bucketed(self, table: str) -> None:
         """Drop the catalog entry; the files stay in the run folder."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{table}")
+
+
+def numbered(run: RunFolder, ordered: DataFrame, name: str) -> DataFrame:
+    """The rows of a sorted DataFrame with their number from 0, in no order of their own.
+
+    The sorted rows are kept with their partition and their number in it. Only the
+    sizes of partitions meet in one place, a row for each.
+    """
+    place = F.monotonically_increasing_id()
+    part, nth = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    rows = run.keep(ordered.withColumn("_place", place), f"{name}_rows").withColumns({"_part": part, name: nth})
+    sizes = sorted(rows.groupBy("_part").count().collect())
+    before, starts = 0, []
+    for part, size in sizes:
+        starts.append((part, before))
+        before += size
+    offsets = run.spark.createDataFrame(starts, "_part long, _before long")
+    # As many rows as the sort had partitions.
+    return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_place", "_part", "_before")

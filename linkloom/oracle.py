@@ -99,16 +99,16 @@ def _closure_levels(depth: int) -> dict[str, str]:
     """Breadth-first levels, one step each, from ``level_0`` to ``level_<depth>``."""
     steps = {
         "level_0": f"""
- SELECT file_id, url AS link, 0 AS depth, seed_pos
+ SELECT file_id, url AS link, 0 AS depth, seed_pos, CAST([] AS INTEGER[]) AS trail
  FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY seed_pos) AS n FROM seed_refs WHERE file_id IS NOT NULL)
  WHERE n = 1"""
     }
     for level in range(1, depth + 1):
         seen = " UNION ALL ".join(f"SELECT file_id FROM level_{i}" for i in range(level))
         steps[f"level_{level}"] = f"""
- SELECT dst AS file_id, url AS link, {level} AS depth, seed_pos FROM (
-  SELECT e.dst, e.url, f.seed_pos,
-   row_number() OVER (PARTITION BY e.dst ORDER BY f.seed_pos, e.src, e.pos) AS n
+ SELECT dst AS file_id, url AS link, {level} AS depth, seed_pos, list_append(before, pos) AS trail FROM (
+  SELECT e.dst, e.url, e.pos, f.seed_pos, f.trail AS before,
+   row_number() OVER (PARTITION BY e.dst ORDER BY f.seed_pos, f.trail, e.src, e.pos) AS n
   FROM edges e JOIN level_{level - 1} f ON e.src = f.file_id
   WHERE e.dst NOT IN ({seen})) WHERE n = 1"""
     return steps
@@ -223,14 +223,14 @@ _STEPS["file_rows"] = f"""
 
 
 def _descendants(roots: str) -> str:
-    """Least ``(depth, seed_pos)`` of the roots over every file below them."""
+    """Least place of the roots over every file below them."""
     return f"""
  WITH RECURSIVE down(root, folder) AS (
   SELECT file_id, file_id FROM {roots}
   UNION SELECT d.root, f.file_id FROM down d JOIN folder_rows f ON f.parent_id = d.folder)
- SELECT file_id, name, mime_type, depth, seed_pos FROM (
-  SELECT c.file_id, c.name, c.mime_type, r.depth, r.seed_pos,
-   row_number() OVER (PARTITION BY c.file_id ORDER BY r.depth, r.seed_pos) AS n
+ SELECT file_id, name, mime_type, depth, seed_pos, trail FROM (
+  SELECT c.file_id, c.name, c.mime_type, r.depth, r.seed_pos, r.trail,
+   row_number() OVER (PARTITION BY c.file_id ORDER BY r.depth, r.seed_pos, r.trail) AS n
   FROM down d JOIN {roots} r ON r.file_id = d.root JOIN file_rows c ON c.parent_id = d.folder) WHERE n = 1"""
 
 
@@ -256,17 +256,17 @@ def _canonical(file_id: str, mime: str) -> str:
   ELSE 'https://drive.google.com/file/d/' || {file_id} || '/view' END"""
 
 
+_LESSER = """CASE WHEN (b.depth, b.seed_pos, b.trail) < (r.depth, r.seed_pos, r.trail) THEN b.{0} ELSE r.{0} END AS {0}"""
 _STEPS["found"] = f"""
  SELECT r.file_id, r.link, CASE WHEN f.http_status = 200 THEN f.name ELSE r.file_id END AS title,
-  {_STATUS} AS status, CASE WHEN (b.depth, b.seed_pos) < (r.depth, r.seed_pos) THEN b.depth ELSE r.depth END AS depth,
-  CASE WHEN (b.depth, b.seed_pos) < (r.depth, r.seed_pos) THEN b.seed_pos ELSE r.seed_pos END AS seed_pos
+  {_STATUS} AS status, {_LESSER.format('depth')}, {_LESSER.format('seed_pos')}, {_LESSER.format('trail')}
  FROM reached r LEFT JOIN fx_files f USING (file_id) LEFT JOIN below_reached b ON b.file_id = r.file_id
  WHERE NOT (f.file_id IS NOT NULL AND f.http_status = 200 AND f.mime_type = '{_WORKSPACE}folder')
  UNION ALL
- SELECT file_id, {_canonical('file_id', 'mime_type')}, name, 'available', depth, seed_pos
+ SELECT file_id, {_canonical('file_id', 'mime_type')}, name, 'available', depth, seed_pos, trail
  FROM below_reached WHERE file_id NOT IN (SELECT file_id FROM reached)
  UNION ALL
- SELECT NULL, url, 'INVALID_URL', 'invalid', 0, seed_pos FROM seed_refs WHERE file_id IS NULL"""
+ SELECT NULL, url, 'INVALID_URL', 'invalid', 0, seed_pos, [] FROM seed_refs WHERE file_id IS NULL"""
 _STEPS["md_parts"] = r"""
  SELECT path, content, CASE WHEN NOT starts_with(content, '---' || chr(10))
    THEN 'failed to parse frontmatter: no frontmatter found'
@@ -373,8 +373,10 @@ _RESULTS = {
     "convert_summary": """
  SELECT count(*) AS records, count(error) AS errors, count(error) > 0 AS failed FROM published""",
     "folder_closure": "SELECT file_id, name, depth, seed_pos FROM below_seeds",
-    "link_closure": "SELECT file_id, link, depth, seed_pos FROM reached",
-    "discovered": "SELECT file_id, link, title, status, depth, seed_pos FROM found",
+    "link_closure": "SELECT file_id, link, depth, seed_pos, array_to_string(trail, '.') AS trail FROM reached",
+    "discovered": """
+ SELECT file_id, link, title, status, depth, seed_pos,
+  row_number() OVER (ORDER BY seed_pos, depth, trail, file_id NULLS FIRST, link) - 1 AS position FROM found""",
     "status_counts": "SELECT status, count(*) AS files FROM found GROUP BY status",
     "front_matter": """
  SELECT p.path, p.parse_error, CASE WHEN p.parse_error IS NULL THEN sha256(substr(p.content, p.stop + 9)) END AS body_hash,
@@ -402,16 +404,22 @@ def _levels_through_folders(depth: int) -> dict[str, str]:
         steps[f"folders_{level}"] = _STEPS["seed_folders"].replace("level_0", f"level_{level}")
         steps[f"below_{level}"] = _descendants(f"folders_{level}")
         steps[f"sources_{level}"] = f"""
- SELECT file_id, min(seed_pos) AS seed_pos FROM (
-  SELECT file_id, seed_pos FROM level_{level}
-  UNION ALL SELECT file_id, seed_pos FROM below_{level} WHERE {earlier('below')})
- WHERE {earlier('sources')} GROUP BY file_id"""
+ SELECT file_id, seed_pos, trail FROM (
+  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY seed_pos, trail) AS n FROM (
+   SELECT file_id, seed_pos, trail FROM level_{level}
+   UNION ALL SELECT file_id, seed_pos, trail FROM below_{level} WHERE {earlier('below')})
+  WHERE {earlier('sources')}) WHERE n = 1"""
         steps[f"level_{level + 1}"] = steps[f"level_{level + 1}"].replace(
             f"JOIN level_{level} f", f"JOIN sources_{level} f"
         )
     return steps
 
 
+#: Steps where a file may lie in several folders.
+_SHARED = {
+    "folder_rows": _STEPS["folder_rows"].replace("parent_id FROM fx_files", "parent AS parent_id FROM fx_files JOIN fx_parents ON child = file_id"),
+    "file_rows": _STEPS["file_rows"].replace("* FROM fx_files", "f.* REPLACE (p.parent AS parent_id) FROM fx_files f JOIN fx_parents p ON p.child = f.file_id"),
+}
 #: Queries that are another one with some steps replaced.
 _VARIANTS = {
     "published_unrepaired": (
@@ -422,6 +430,8 @@ _VARIANTS = {
  UNION ALL SELECT n.record_id AS key, n.* FROM unique_names n WHERE n.record_id IS NOT NULL"""}),
     "discovered_seeds_only": ("discovered", {"reached": "SELECT * FROM level_0"}),
     "discovered_through_folders": ("discovered", _levels_through_folders(5)),
+    "folder_closure_shared": ("folder_closure", _SHARED),
+    "discovered_shared": ("discovered", _SHARED),
 }
 _STEPS["unique_names"] = """
  SELECT r.* REPLACE (coalesce(regexp_extract(p.path, '[^/]*$'), r.file_name) AS file_name)

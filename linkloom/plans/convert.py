@@ -20,21 +20,29 @@ from linkloom.operators.rewrite import (
 )
 from linkloom.operators.skew import Spread, measure_spread
 from linkloom.operators.storage import RunFolder
+from linkloom.sources.snapshots import text_presence
 
 METADATA = ("file_id", "mime_type", "modified_time", "http_status")
 _RESULT = ("rec_pos", "link", "title", "file_id", "route", "error", "path", "content")
 
 
-def file_facts(files: DataFrame, contents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Metadata of each file and whether its text is there: one or more, not null.
+def file_facts(
+    files: DataFrame, contents: DataFrame, wanted: DataFrame, presence: DataFrame | None = None
+) -> DataFrame:
+    """Metadata of each file, whether its text is there and how many ``texts`` there are.
 
     Only files with their ID in ``wanted`` are looked at, so that a few records do
-    not shuffle the whole snapshot. A missing revision is the empty one.
+    not shuffle the whole snapshot. With ``presence`` (see ``land_contents``) no
+    text is read; without it the text column is searched for nulls. A missing
+    revision is the empty one.
     """
     ids = wanted.select("file_id").distinct()
-    files, contents = (df.join(ids, "file_id", "left_semi") for df in (files, contents))
-    there = contents.filter("markdown IS NOT NULL").select("file_id").distinct()
-    present = there.withColumn("has_content", F.lit(True))
+    files = files.join(ids, "file_id", "left_semi")
+    if presence is None:
+        presence = text_presence(contents.join(ids, "file_id", "left_semi"))
+    else:
+        presence = presence.filter("texts > 0").join(ids, "file_id", "left_semi")
+    present = presence.select("file_id", "texts", F.lit(True).alias("has_content"))
     revision = F.coalesce("modified_time", F.lit("")).alias("modified_time")
     known = files.select(*(revision if c == "modified_time" else c for c in METADATA))
     return known.join(present, "file_id", "left")
@@ -46,11 +54,13 @@ def _planned(
     files: DataFrame,
     contents: DataFrame,
     base: str,
+    presence: DataFrame | None,
 ) -> tuple[DataFrame, DataFrame, Spread]:
     records = run.keep(with_placement(inventory), "records")
     named = records.withColumnRenamed("record_id", "file_id")
-    spread = measure_spread(named, "file_id")
-    known = attach_metadata(named, file_facts(files, contents, named), spread)
+    spread = measure_spread(run, named, "file_id")
+    facts = file_facts(files, contents, named, presence)
+    known = attach_metadata(named, facts, spread)
     routed = run.keep(
         plan_paths(require_content(route_documents(known)), base), "routed"
     )
@@ -60,14 +70,19 @@ def _planned(
 
 
 def plan_conversion(
-    inventory: DataFrame, files: DataFrame, contents: DataFrame, base: str = "./output"
+    inventory: DataFrame,
+    files: DataFrame,
+    contents: DataFrame | None,
+    base: str = "./output",
+    presence: DataFrame | None = None,
 ) -> DataFrame:
     """Dry run: route, error and final path of every record, without texts.
 
-    Records that fail take no path.
+    Records that fail take no path. With ``presence`` the texts are not looked at,
+    and ``contents`` may be left out.
     """
     run = RunFolder(inventory.sparkSession, "plan")
-    return _planned(run, inventory, files, contents, base)[1]
+    return _planned(run, inventory, files, contents, base, presence)[1]
 
 
 def convert(
@@ -77,15 +92,17 @@ def convert(
     base: str = "./output",
     repair: bool = True,
     link_to_unique: bool = False,
+    presence: DataFrame | None = None,
 ) -> DataFrame:
     """One row per inventory record: its route and the document or the error.
 
     The plan (no texts) and the link index are written to the run folder first;
     the texts are then scanned for links, and moved once to meet their records.
-    ``link_to_unique`` makes links follow the collision suffixes of paths.
+    ``link_to_unique`` makes links follow the collision suffixes of paths;
+    ``presence`` lets planning do without the text column.
     """
     run = RunFolder(inventory.sparkSession, "convert")
-    records, plan, spread = _planned(run, inventory, files, contents, base)
+    records, plan, spread = _planned(run, inventory, files, contents, base, presence)
     plan = run.keep(plan, "plan")
 
     if link_to_unique:

@@ -19,11 +19,13 @@ def discover(
     contents: DataFrame,
     max_depth: int = DEFAULT_MAX_DEPTH,
     crawl_folder_children: bool = False,
+    parents: DataFrame | None = None,
 ) -> DataFrame:
-    """``(file_id, link, title, status, depth, seed_pos)`` of all files found.
+    """``(file_id, link, title, status, depth, seed_pos, trail)`` of all files found.
 
     Links in documents are followed up to ``max_depth`` (0 turns that off),
-    folders to any nesting. Use ``order_discovered`` to present the rows.
+    folders to any nesting. ``parents`` gives ``(child, parent)`` where files lie in
+    several folders. Use ``order_discovered`` to present the rows.
     """
     run = RunFolder(seeds.sparkSession, "discover")
     seeds = with_file_id(seeds, "url")
@@ -31,7 +33,7 @@ def discover(
     try:
         # At depth 0 no link is followed and no text is read.
         edges = crawl_edges(run, files, contents) if max_depth > 0 else None
-        linked, listed = crawl(run, seeds, files, edges, max_depth)
+        linked, listed = crawl(run, seeds, files, edges, max_depth, parents)
     finally:
         run.forget_bucketed("edges")
     return union_records(seeds, linked, listed, files)

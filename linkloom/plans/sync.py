@@ -31,10 +31,12 @@ def sync(
     files: DataFrame,
     contents: DataFrame,
     repair: bool = True,
+    presence: DataFrame | None = None,
 ) -> DataFrame:
     """One row per file: what happened to it, and the new ``content`` if changed.
 
-    Files are judged by their front matter and by metadata alone; texts are
+    Files are judged by their front matter and by metadata alone (with ``presence``,
+    see ``land_contents``, no text column is searched for nulls); texts are
     fetched for changed files only. Headers and decisions are written to the
     run folder before any text is fetched. Nothing is overwritten here: write the changed
     rows with a sink, to a new version of the tree or over the old files.
@@ -47,8 +49,9 @@ def sync(
     headers = run.keep(
         read_headers(md_files).withColumnRenamed("path", "file_path"), "headers"
     )
-    facts = file_facts(files, contents, headers).join(records, "file_id", "left")
-    spread = measure_spread(headers, "file_id")
+    facts = file_facts(files, contents, headers, presence)
+    facts = facts.join(records, "file_id", "left")
+    spread = measure_spread(run, headers, "file_id")
     known = attach_metadata(headers, facts, spread, row_id="file_path")
     judged = run.keep(detect_changes(known), "judged")
 

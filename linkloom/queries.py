@@ -58,7 +58,7 @@ def access_status(fx: Fixtures) -> DataFrame:
 
 def _routed(fx: Fixtures) -> DataFrame:
     records = links.with_file_id(fx.inventory)
-    facts = file_facts(fx.files, fx.contents, records)
+    facts = file_facts(fx.files, fx.contents, records, fx.presence)
     return publish.require_content(
         publish.route_documents(metadata.attach_metadata(records, facts))
     )
@@ -136,12 +136,12 @@ def rewritten_docs(fx: Fixtures) -> DataFrame:
 
 
 def conversion_plan(fx: Fixtures) -> DataFrame:
-    plan = plan_conversion(fx.inventory, fx.files, fx.contents, BASE)
+    plan = plan_conversion(fx.inventory, fx.files, None, BASE, fx.presence)
     return plan.select("rec_pos", "route", "error", "path")
 
 
 def _converted(fx: Fixtures) -> DataFrame:
-    return convert(fx.inventory, fx.files, fx.contents, BASE)
+    return convert(fx.inventory, fx.files, fx.contents, BASE, presence=fx.presence)
 
 
 def published_docs(fx: Fixtures) -> DataFrame:
@@ -162,21 +162,27 @@ def convert_summary(fx: Fixtures) -> DataFrame:
     return summaries.convert_summary(_converted(fx))
 
 
-def folder_closure(fx: Fixtures) -> DataFrame:
+def folder_closure(fx: Fixtures, parents: DataFrame | None = None) -> DataFrame:
     run = RunFolder(fx.spark, "folder_closure")
     seeds = crawl.seed_references(links.with_file_id(fx.seeds, "url"))
     roots = crawl.reached_folders(seeds.withColumn("depth", F.lit(0)), fx.files)
-    found = crawl.folder_closure(run, roots, fx.files)
+    found = crawl.folder_closure(run, roots, fx.files, parents=parents)
     return found.select("file_id", "name", "depth", "seed_pos")
 
 
+def folder_closure_shared(fx: Fixtures) -> DataFrame:
+    """Where documents and folders lie in several folders."""
+    return folder_closure(fx, fx.parents)
+
+
 def link_closure(fx: Fixtures) -> DataFrame:
     run = RunFolder(fx.spark, "link_closure")
     edges = crawl.crawl_edges(run, fx.files, fx.contents)
     seeds = links.with_file_id(fx.seeds, "url")
     reached = crawl.link_closure(run, seeds, edges, 5)
     run.forget_bucketed("edges")
-    return reached
+    trail = F.array_join(F.col("trail").cast("array<string>"), ".")
+    return reached.withColumn("trail", trail)
 
 
 def discovered(fx: Fixtures) -> DataFrame:
@@ -184,11 +190,17 @@ def discovered(fx: Fixtures) -> DataFrame:
 
 
 def discovered_seeds_only(fx: Fixtures) -> DataFrame:
-    return discover(fx.seeds, fx.files, fx.contents, max_depth=0)
+    return crawl.order_discovered(discover(fx.seeds, fx.files, fx.contents, max_depth=0))
 
 
 def discovered_through_folders(fx: Fixtures) -> DataFrame:
-    return discover(fx.seeds, fx.files, fx.contents, crawl_folder_children=True)
+    found = discover(fx.seeds, fx.files, fx.contents, crawl_folder_children=True)
+    return crawl.order_discovered(found)
+
+
+def discovered_shared(fx: Fixtures) -> DataFrame:
+    """Where documents and folders lie in several folders."""
+    return crawl.order_discovered(discover(fx.seeds, fx.files, fx.contents, parents=fx.parents))
 
 
 def status_counts(fx: Fixtures) -> DataFrame:
@@ -205,7 +217,7 @@ def front_matter(fx: Fixtures) -> DataFrame:
 
 
 def _synced(fx: Fixtures) -> DataFrame:
-    return sync(fx.md_files, fx.inventory, fx.files, fx.contents)
+    return sync(fx.md_files, fx.inventory, fx.files, fx.contents, presence=fx.presence)
 
 
 def sync_results(fx: Fixtures) -> DataFrame:
@@ -242,10 +254,12 @@ _QUERIES = (
     published_unique_links,
     convert_summary,
     folder_closure,
+    folder_closure_shared,
     link_closure,
     discovered,
     discovered_seeds_only,
     discovered_through_folders,
+    discovered_shared,
     status_counts,
     front_matter,
     sync_results,

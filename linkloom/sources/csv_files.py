@@ -112,11 +112,11 @@ def read_inventory(
 
 def write_discovery(discovered: DataFrame, path: str, mode: str = "overwrite") -> None:
     """``link,title,status`` in discovery order; ``available`` is written blank."""
-    from linkloom.operators.crawl import order_discovered
+    from linkloom.operators.crawl import in_report_order
 
     status = F.when(F.col("status") == "available", "").otherwise(F.col("status"))
     (
-        order_discovered(discovered)
+        in_report_order(discovered)
         .select("link", "title", status.alias("status"))
         .write.mode(mode)
         .options(

@@ -282,6 +282,101 @@ def test_presentation_order(spark):
     assert [r.file_id for r in ordered] == ["b", "c", "a"]
 
 
+def below(roots, edges, folders, shut):
+    """Least place of each folder and file under the roots, by walking every path."""
+    children = {}
+    for child, parent in edges:
+        children.setdefault(parent, set()).add(child)
+    best = {}
+    for root, place in roots:
+        waiting, entered = [root], {root}
+        while waiting:
+            folder = waiting.pop()
+            for child in children.get(folder, ()):
+                if child not in folders:
+                    best[child] = min(best.get(child, place), place)
+                elif child not in shut and child not in entered:
+                    entered.add(child)
+                    waiting.append(child)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_files_in_several_folders_against_brute_force(spark, seed):
+    """Random folder graphs with cycles, unreadable folders and files in many places."""
+    rng = random.Random(seed)
+    folders = [f"k{i}" for i in range(50)]
+    docs = [f"d{i}" for i in range(60)]
+    shut = set(rng.sample(folders, 5))
+    several = 0.3 if seed % 2 else 0.05
+    edges = set()
+    for i, name in enumerate(folders):
+        for _ in range(2 if rng.random() < several else 1):
+            above = rng.randrange(max(0, i - 4), i + 1) if rng.random() < 0.9 else rng.randrange(50)
+            edges.add((name, folders[above]))
+    for name in docs:
+        edges |= {(name, rng.choice(folders)) for _ in range(rng.choice([1, 1, 2, 3]))}
+    edges |= {("k9", "k9"), ("d0", "absent")}
+    roots = [(n, (rng.randrange(3), rng.randrange(9))) for n in rng.sample(folders, 6)] + [("absent", (2, 9))]
+    files = [file(n, FOLDER, status=403 if n in shut else 200) for n in folders] + [file(n) for n in docs]
+    found = crawl.folder_closure(
+        storage.RunFolder(spark, "test"),
+        spark.createDataFrame([(n, *p) for n, p in roots], "file_id string, depth int, seed_pos long"),
+        spark.createDataFrame(files, FILES),
+        parents=spark.createDataFrame(sorted(edges) + sorted(edges)[:5], "child string, parent string"),
+    ).collect()
+    got = {r.file_id: (r.depth, r.seed_pos) for r in found}
+    assert len(got) == len(found)
+    assert got == below(roots, edges, set(folders), shut)
+
+
+def test_file_in_two_folders_has_the_least_place_of_both(spark):
+    files = [file("a", FOLDER), file("b", FOLDER), file("f")]
+    seeds = ["https://drive.google.com/drive/folders/a", "https://drive.google.com/drive/folders/b"]
+    parents = spark.createDataFrame([("f", "b"), ("f", "a")], "child string, parent string")
+    found = discover(*tables(spark, seeds, files, {"x": ""}), parents=parents)
+    assert [(r.file_id, r.seed_pos) for r in found.collect()] == [("f", 0)]
+
+
+def test_long_chains_of_folders_take_few_rounds(spark):
+    files = [file(f"k{i}", FOLDER, f"k{i - 1}" if i else None) for i in range(500)]
+    files += [file("last", DOC, "k499"), file("middle", DOC, "k250")]
+    kept = []
+
+    class Counting(storage.RunFolder):
+        def keep(self, df, table):
+            kept.append(table)
+            return super().keep(df, table)
+
+    roots = spark.createDataFrame([("k0", 1, 4), ("k300", 0, 9)], "file_id string, depth int, seed_pos long")
+    found = crawl.folder_closure(Counting(spark, "test"), roots, spark.createDataFrame(files, FILES), "x")
+    assert {(r.file_id, r.depth, r.seed_pos) for r in found.collect()} == {("last", 0, 9), ("middle", 1, 4)}
+    rounds = [t for t in kept if t.removeprefix("x_").isdigit()]
+    assert len(rounds) <= 12, kept
+
+
+def test_report_follows_seeds_depths_parents_and_places(spark):
+    """b and a are linked from s in this order; so c (of b) comes before e and g (of a)."""
+    texts = {"s": f"{url('b')} {url('a')}", "b": url("c"), "a": f"{url('e')} {url('g')} {url('c')}", "t": url("z")}
+    top = "https://drive.google.com/drive/folders/top"
+    files = [file(n) for n in "stabcegz"] + [file("top", FOLDER), file("y", DOC, "top"), file("x", DOC, "top")]
+    found = discover(*tables(spark, [url("t"), "nonsense", url("s"), top], files, texts))
+    ordered = crawl.order_discovered(found).collect()
+    assert [r.file_id for r in ordered] == ["t", "z", None, "s", "b", "a", "c", "e", "g", "x", "y"]
+    assert [r.position for r in ordered] == list(range(11)) and "trail" not in ordered[0].asDict()
+
+
+def test_rows_are_numbered_across_partitions(spark):
+    rows = spark.range(0, 1000, 1, 7).selectExpr("(id * 7919) % 1000 AS x").orderBy("x")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = storage.numbered(storage.RunFolder(spark, "test"), rows, "n").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.x, r.n) for r in got) == [(i, i) for i in range(1000)]
+    assert storage.numbered(storage.RunFolder(spark, "test"), rows.filter("x < 0"), "n").collect() == []
+
+
 def test_seed_ids_come_from_urls(spark):
     seeds = spark.createDataFrame([(4, url("a")), (2, url("a")), (1, "x")], "seed_pos long, url string")
     refs = crawl.seed_references(with_file_id(seeds, "url")).collect()

@@ -10,7 +10,9 @@ from linkloom import convert, sync
 from linkloom.operators import inventory, publish, rewrite, skew
 from linkloom.operators.changes import order_files
 from linkloom.operators.summaries import convert_summary, sync_summary
+from linkloom.operators.storage import RunFolder
 from linkloom.plans.convert import plan_conversion
+from linkloom.sources.snapshots import land_contents, text_presence
 
 DOC = "application/vnd.google-apps.document"
 FILES = "file_id string, mime_type string, modified_time string, http_status int"
@@ -280,8 +282,8 @@ def test_convert_summary(spark):
     assert (row.records, row.errors, row.failed) == (8, 2, True)
 
 
-@pytest.mark.parametrize("max_keys", [10_000, 0])
-def test_hot_file_gives_the_same_documents(spark, monkeypatch, max_keys):
+@pytest.mark.parametrize("hot_keys", [10_000, 1])
+def test_hot_file_gives_the_same_documents(spark, monkeypatch, hot_keys):
     """A third of the inventory names one file; slices must change nothing."""
     rng = random.Random(5)
     rows = [
@@ -293,7 +295,7 @@ def test_hot_file_gives_the_same_documents(spark, monkeypatch, max_keys):
     metadata = files(spark, *((i, DOC, f"T-{i}", 200) for i in ids))
     texts = contents(spark, **{i: f"to [h]({url('hot')}) [x]({url('d1')})" for i in ids})
     plain = by_position(convert(listed, metadata, texts))
-    monkeypatch.setattr(skew, "MAX_BROADCAST_KEYS", max_keys)
+    monkeypatch.setattr(skew, "HOT_KEYS", hot_keys)
     monkeypatch.setattr(skew.measure_spread, "__defaults__", (8,))
     sliced = convert(listed, metadata, texts)
     assert "_slice" in sliced._jdf.queryExecution().optimizedPlan().toString()
@@ -305,7 +307,7 @@ def spread_sizes(spark, rows_per_slice):
     many = spark.range(0, 3000).selectExpr(
         "id AS rec_pos", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id AS string) END AS file_id"
     )
-    spread = skew.measure_spread(many, "file_id", rows_per_slice)
+    spread = skew.measure_spread(RunFolder(spark, "test"), many, "file_id", rows_per_slice)
     return spread.slice_rows(many, "rec_pos").groupBy(*spread.keys).count()
 
 
@@ -317,6 +319,44 @@ def test_slices_bound_the_groups(spark):
     assert sliced.agg(F.sum("count")).first()[0] == 3000
 
 
+def test_no_hot_key_means_no_slices(spark):
+    many = spark.range(0, 500).selectExpr("CASE WHEN id % 2 = 0 THEN CAST(id AS string) END AS file_id")
+    assert skew.measure_spread(RunFolder(spark, "test"), many, "file_id", 200).hot is None
+
+
+def unreadable(spark):
+    """Texts that fail as soon as one is looked at."""
+    failing = F.raise_error(F.lit("a text was read")).cast("string")
+    return spark.range(3).select(F.format_string("d%s", "id").alias("file_id"), failing.alias("markdown"))
+
+
+def test_planning_with_presence_reads_no_text(spark, tmp_path):
+    listed, metadata, texts = corpus(spark)
+    odd = texts.unionByName(contents(spark, d1="again", absent=None))
+    landed, presence = land_contents(odd, str(tmp_path))
+    plain = by_position(convert(listed, metadata, odd))
+    assert by_position(convert(listed, metadata, landed, presence=presence)) == plain
+    expected = {(r.rec_pos, r.route, r.error, r.path) for r in plain.values()}
+    for given in (None, unreadable(spark)):
+        plan = plan_conversion(listed, metadata, given, presence=presence)
+        assert {(r.rec_pos, r.route, r.error, r.path) for r in plan.collect()} == expected
+        assert "markdown#" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sync_reads_texts_of_changed_files_only(spark):
+    listed = records(spark, (url("a"), "A", "", "g"))
+    metadata = files(spark, ("a", DOC, "same", 200))
+    presence = spark.createDataFrame([("a", 1)], "file_id string, texts long")
+    tree = spark.createDataFrame([("p.md", page(url("a"), "same"))], "path string, content string")
+    rows = sync(tree, listed, metadata, unreadable(spark), presence=presence).collect()
+    assert [(r.status, r.error) for r in rows] == [("unchanged", None)]
+
+
+def test_presence_counts_texts(spark):
+    texts = spark.createDataFrame([("a", "x"), ("a", None), ("b", None), (None, "y"), ("a", "")], "file_id string, markdown string")
+    assert {tuple(r) for r in text_presence(texts).collect()} == {("a", 2), (None, 1)}
+
+
 def page(link=None, revision=None, title="T", body="old"):
     lines = ["description: D: x", "editor: markdown"]
     lines += [f'gdrive-link: "{link}"'] if link is not None else []

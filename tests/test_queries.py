@@ -83,5 +83,7 @@ def test_small_sets_of_wanted_ids_move_no_text(spark, stored, name):
     assert wanted and all("BroadcastHashJoin" in line for line in wanted)
 
 
-def test_existence_of_texts_is_checked_where_they_lie(spark, stored, large):
-    assert text_shuffles(spark, queries.document_routes(stored)) == 0
+@pytest.mark.parametrize("name", ["document_routes", "conversion_plan"])
+def test_planning_reads_no_text(stored, name):
+    plan = plan_of(queries.over_views()[name](stored))
+    assert "markdown#" not in plan and "markdown:string" not in plan
