@@ -356,13 +356,13 @@ def test_long_chains_of_folders_take_few_rounds(spark):
 
 
 def test_report_follows_seeds_depths_parents_and_places(spark):
-    """b and a are linked from s in this order; so c (of b) comes before e and g (of a)."""
-    texts = {"s": f"{url('b')} {url('a')}", "b": url("c"), "a": f"{url('e')} {url('g')} {url('c')}", "t": url("z")}
+    """b and a are linked from s in this order; so c (of b) comes before h and g (of a)."""
+    texts = {"s": f"{url('b')} {url('a')}", "b": url("c"), "a": f"{url('h')} {url('g')} {url('c')}", "t": url("z")}
     top = "https://drive.google.com/drive/folders/top"
-    files = [file(n) for n in "stabcegz"] + [file("top", FOLDER), file("y", DOC, "top"), file("x", DOC, "top")]
+    files = [file(n) for n in "stabchgz"] + [file("top", FOLDER), file("y", DOC, "top"), file("x", DOC, "top")]
     found = discover(*tables(spark, [url("t"), "nonsense", url("s"), top], files, texts))
     ordered = crawl.order_discovered(found).collect()
-    assert [r.file_id for r in ordered] == ["t", "z", None, "s", "b", "a", "c", "e", "g", "x", "y"]
+    assert [r.file_id for r in ordered] == ["t", "z", None, "s", "b", "a", "c", "h", "g", "x", "y"]
     assert [r.position for r in ordered] == list(range(11)) and "trail" not in ordered[0].asDict()
 
 
