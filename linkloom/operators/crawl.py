@@ -215,14 +215,16 @@ def _least(columns=PLACE) -> Column:
     return F.min(F.struct(*columns)).alias("place")
 
 
-def crawl_edges(run: RunFolder, files: DataFrame, contents: DataFrame) -> DataFrame:
+def crawl_edges(
+    run: RunFolder, files: DataFrame, contents: DataFrame, documents_per_bucket: int = DOCUMENTS_PER_BUCKET
+) -> DataFrame:
     """The link graph, kept bucketed by source document.
 
     There are as many buckets as shuffle partitions, or fewer when there are
     few documents (their number comes from file footers).
     """
     partitions = int(run.spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(partitions, 1 + contents.count() // DOCUMENTS_PER_BUCKET)
+    buckets = min(partitions, 1 + contents.count() // documents_per_bucket)
     edges = document_links(contents, files, buckets)
     return run.keep_bucketed(edges, "edges", "src", buckets)
 

@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,37 @@ class RunFolder:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{table}")
 
 
+class Commits:
+    """The versions of something that consists of several tables or files.
+
+    A version counts from the moment that a small file names it, which appears whole
+    or not at all. What it consists of is written before that, under names of its own, so that
+    readers see the old version or the new one and never a part of either. One
+    writer commits at a time.
+    """
+
+    _SCHEMA = "version long, facts map<string, string>"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.path = f"{path.rstrip('/')}/commits"
+
+    def latest(self) -> tuple[int, dict[str, str]] | None:
+        """Number and facts of the last version; None before the first."""
+        try:
+            found = self.spark.read.schema(self._SCHEMA).json(self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        last = found.orderBy(F.desc("version")).first()
+        return None if last is None else (last["version"], last["facts"])
+
+    def commit(self, version: int, **facts: str) -> None:
+        row = self.spark.createDataFrame([(version, facts)], self._SCHEMA)
+        row.coalesce(1).write.mode("append").json(self.path)
+
+
 def numbered(run: RunFolder, ordered: DataFrame, name: str) -> DataFrame:
     """The rows of a sorted DataFrame with their number from 0, in no order of their own.
 

@@ -432,6 +432,7 @@ _VARIANTS = {
     "discovered_through_folders": ("discovered", _levels_through_folders(5)),
     "folder_closure_shared": ("folder_closure", _SHARED),
     "discovered_shared": ("discovered", _SHARED),
+    "discovered_again": ("discovered", {}),
 }
 _STEPS["unique_names"] = """
  SELECT r.* REPLACE (coalesce(regexp_extract(p.path, '[^/]*$'), r.file_name) AS file_name)

@@ -11,6 +11,7 @@ from linkloom.functions.naming import tag_list
 from linkloom.functions.urls import canonical_link, repair_urls
 from linkloom.operators import crawl, inventory, links, metadata, paths, publish
 from linkloom.operators import rewrite, summaries
+from linkloom.operators.edge_index import EdgeIndex
 from linkloom.operators.storage import RunFolder
 from linkloom.plans.convert import convert, file_facts, plan_conversion
 from linkloom.plans.discover import discover
@@ -203,6 +204,20 @@ def discovered_shared(fx: Fixtures) -> DataFrame:
     return crawl.order_discovered(discover(fx.seeds, fx.files, fx.contents, parents=fx.parents))
 
 
+def discovered_again(fx: Fixtures) -> DataFrame:
+    """From a stored index that held an earlier snapshot: other texts, other files."""
+    number = F.coalesce(F.substring("file_id", 4, 22).try_cast("long"), F.lit(1))  # folders stay
+    rewritten, added = number % 5 == 0, number % 7 == 3
+    earlier = fx.files.withColumn("modified_time", F.when(rewritten, "earlier").otherwise(F.col("modified_time")))
+    other_links = F.replace("markdown", F.lit("/document/d/doc"), F.lit("/document/d/old"))
+    texts = fx.contents.select("file_id", F.when(rewritten, other_links).otherwise(F.col("markdown")).alias("markdown"))
+    index = EdgeIndex(fx.spark, RunFolder(fx.spark, "edge_index").path)
+    index.update(earlier.filter(~added), texts.filter(~added))
+    discover(fx.seeds, earlier, None, max_depth=1, index=index)
+    index.update(fx.files, fx.contents)
+    return crawl.order_discovered(discover(fx.seeds, fx.files, None, index=index))
+
+
 def status_counts(fx: Fixtures) -> DataFrame:
     return summaries.discovery_summary(discover(fx.seeds, fx.files, fx.contents))
 
@@ -260,6 +275,7 @@ _QUERIES = (
     discovered_seeds_only,
     discovered_through_folders,
     discovered_shared,
+    discovered_again,
     status_counts,
     front_matter,
     sync_results,

@@ -254,15 +254,14 @@ def test_random_graphs_against_brute_force(spark, seed):
     assert {r.file_id: r.depth for r in found.collect()} == brute_force(seeds, edges, 3)
 
 
-def test_edges_are_not_shuffled_per_round(spark, monkeypatch):
-    monkeypatch.setattr(crawl, "DOCUMENTS_PER_BUCKET", 15)
+def test_edges_are_not_shuffled_per_round(spark):
     run = storage.RunFolder(spark, "test")
     nodes = [f"n{i}" for i in range(40)]
     files = spark.createDataFrame([file(n) for n in nodes], FILES)
     contents = spark.createDataFrame(
         [(n, url("n1")) for n in nodes], "file_id string, markdown string"
     )
-    edges = crawl.crawl_edges(run, files, contents)
+    edges = crawl.crawl_edges(run, files, contents, documents_per_bucket=15)
     frontier = spark.createDataFrame([("n2", 0)], "file_id string, seed_pos long")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
