@@ -383,6 +383,22 @@ _RESULTS = {
   v.key, v.value FROM md_parts p LEFT JOIN md_values v USING (path)""",
     "sync_results": "SELECT * FROM sync_rows",
     "sync_rewritten": "SELECT path AS file_path, content FROM sync_docs",
+    "published_tree": r"""
+ SELECT path, content FROM published WHERE content IS NOT NULL AND strlen(regexp_extract(path, '[^/]*$')) <= 255""",
+    "synced_tree": """
+ SELECT m.path, coalesce(d.content, m.content) AS content FROM fx_md_files m LEFT JOIN sync_docs d USING (path)""",
+    "plain_tree": "SELECT path, content FROM fx_md_files",
+    "reported": """
+ SELECT row_number() OVER (ORDER BY seed_pos, depth, trail, file_id NULLS FIRST, link) - 1 AS seed_pos, link AS url
+ FROM found""",
+    "listed_inventory": """
+ SELECT rec_pos, link, trim(title) AS title, trim(tags) AS tags, trim(frag1) AS frag1, trim(frag2) AS frag2,
+  trim(frag3) AS frag3, '' AS frag4, trim(frag5) AS frag5 FROM (
+  SELECT * REPLACE (row_number() OVER (ORDER BY late, rec_pos) - 1 AS rec_pos,
+    CASE WHEN late THEN '' ELSE frag2 END AS frag2, CASE WHEN late THEN '' ELSE frag5 END AS frag5)
+  FROM (SELECT *, contains(tags, 'toxic') OR frag1 = 'labelled' AS late FROM fx_inventory))""",
+    "ordered_sync": """
+ SELECT file_path, status, row_number() OVER (ORDER BY file_path) - 1 AS position FROM sync_rows""",
     "sync_summary": """
  SELECT count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (status = 'unchanged') AS unchanged,
   count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'error') AS errors,

@@ -12,10 +12,13 @@ from linkloom.functions.urls import canonical_link, repair_urls
 from linkloom.operators import crawl, inventory, links, metadata, paths, publish
 from linkloom.operators import rewrite, summaries
 from linkloom.operators.edge_index import EdgeIndex
-from linkloom.operators.storage import RunFolder
+from linkloom.operators.changes import order_files
+from linkloom.operators.storage import RunFolder, numbered
 from linkloom.plans.convert import convert, file_facts, plan_conversion
 from linkloom.plans.discover import discover
 from linkloom.plans.sync import sync
+from linkloom.sources.csv_files import read_inventory, read_seeds, write_discovery
+from linkloom.sources.markdown_tree import MarkdownTree, read_markdown_tree, write_markdown_tree
 
 BASE = "./wiki/../wiki"
 
@@ -244,6 +247,59 @@ def sync_rewritten(fx: Fixtures) -> DataFrame:
     return changed.select("file_path", "content")
 
 
+def _tree(fx: Fixtures) -> MarkdownTree:
+    return MarkdownTree(fx.spark, RunFolder(fx.spark, "tree").path)
+
+
+def published_tree(fx: Fixtures) -> DataFrame:
+    """Written as files and read back; file systems refuse names of more than 255 bytes."""
+    tree = _tree(fx)
+    tree.publish(_converted(fx))
+    return tree.read()
+
+
+def synced_tree(fx: Fixtures) -> DataFrame:
+    """The earlier tree as files, brought in step, read back."""
+    tree = _tree(fx)
+    tree.publish(fx.md_files)
+    tree.publish(sync(tree.read(), fx.inventory, fx.files, fx.contents, presence=fx.presence))
+    return tree.read()
+
+
+def plain_tree(fx: Fixtures) -> DataFrame:
+    """Written without versions and read back."""
+    folder = RunFolder(fx.spark, "plain_tree").path
+    write_markdown_tree(fx.md_files, folder)
+    files = read_markdown_tree(fx.spark, folder)
+    return files.select(F.regexp_extract("path", "wiki/.*", 0).alias("path"), "content")
+
+
+def reported(fx: Fixtures) -> DataFrame:
+    """The discovery report, written as CSV files and read back as seeds."""
+    folder = RunFolder(fx.spark, "report").path
+    write_discovery(discover(fx.seeds, fx.files, fx.contents), folder)
+    return read_seeds(fx.spark, folder)
+
+
+def listed_inventory(fx: Fixtures) -> DataFrame:
+    """The inventory, written as CSV files of two layouts and read back."""
+    folder = RunFolder(fx.spark, "inventory").path
+    late = F.col("tags").contains("toxic") | (F.col("frag1") == "labelled")
+    for name, rows, columns in (
+        ("a", fx.inventory.filter(~late), ("link", "title", "tags", "frag1", "frag2", "frag3", "frag4", "frag5")),
+        ("b", fx.inventory.filter(late), ("frag3", "Title", "tags", "frag1", "LINK")),
+    ):
+        sorted_rows = rows.orderBy("rec_pos").select(*(F.col(c.lower()).alias(c) for c in columns))
+        sorted_rows.write.options(header=True, quote='"', escape='"', emptyValue="").csv(f"{folder}/{name}")
+    return read_inventory(fx.spark, f"{folder}/*")
+
+
+def ordered_sync(fx: Fixtures) -> DataFrame:
+    """Results of sync as they are presented, with their place."""
+    run = RunFolder(fx.spark, "ordered")
+    return numbered(run, order_files(_synced(fx).select("file_path", "status")), "position")
+
+
 def sync_summary(fx: Fixtures) -> DataFrame:
     return summaries.sync_summary(_synced(fx))
 
@@ -281,6 +337,12 @@ _QUERIES = (
     sync_results,
     sync_rewritten,
     sync_summary,
+    published_tree,
+    synced_tree,
+    plain_tree,
+    reported,
+    listed_inventory,
+    ordered_sync,
 )
 
 

@@ -1,4 +1,9 @@
-"""Markdown trees: reading ``.md`` files, writing documents to tables or files."""
+"""Markdown trees: reading ``.md`` files, writing documents to tables or files.
+
+Files written one by one are never all old or all new. ``MarkdownTree`` is for readers
+that must not see that: files of a new version lie beside the old ones, a manifest
+says which file a path has, and the manifest counts once it is committed.
+"""
 
 import uuid
 from collections.abc import Iterator
@@ -7,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.operators.storage import RunFolder
+from linkloom.operators.storage import Commits, RunFolder
 
 
 def read_markdown_tree(spark: SparkSession, directory: str) -> DataFrame:
@@ -92,3 +97,70 @@ def write_markdown_tree(documents: DataFrame, directory: str = "") -> DataFrame:
 def _published(documents: DataFrame) -> DataFrame:
     path = "path" if "path" in documents.columns else "file_path"
     return documents.filter(F.col("content").isNotNull()).select(F.col(path).alias("path"), "content")
+
+
+class MarkdownTree:
+    """A tree of Markdown files below ``directory`` of which readers see whole versions.
+
+    ``files/<version>/`` has the files that a version wrote, ``manifests/<version>/`` the table
+    ``(path, file, revision)`` of all its files, those taken over from earlier versions
+    among them, so only changed documents are written. One writer publishes at a time.
+    """
+
+    _MANIFEST = "path string, file string, revision string"
+
+    def __init__(self, spark: SparkSession, directory: str):
+        self.spark = spark
+        self.directory = directory.rstrip("/")
+        self._commits = Commits(spark, self.directory)
+
+    def publish(self, documents: DataFrame, whole: bool = False) -> DataFrame:
+        """Commit a version with these documents; ``(path, error)`` of each that was to be written.
+
+        ``documents`` is a result of ``convert`` or of ``sync``; rows without content
+        are passed over. Other paths keep their files, or are gone if the documents
+        are the ``whole`` tree. A document that cannot be written keeps its old file, if
+        any. A run that ends before the commit leaves the old version as it was.
+        """
+        run = RunFolder(self.spark, "tree")
+        last = self._commits.latest()
+        name = f"v{1 if last is None else last[0] + 1}_{uuid.uuid4().hex}"
+        given = run.keep(_published(documents), "documents")
+        told = write_markdown_tree(given, f"{self.directory}/files/{name}")
+        written = told.filter("error IS NULL").select("path").distinct()
+        revisions = given.groupBy("path").agg(F.max(F.sha2("content", 256)).alias("revision"))
+        file = F.concat(F.lit(f"{name}/"), F.ltrim("path", F.lit("/")))
+        rows = written.join(revisions, "path").select("path", file.alias("file"), "revision")
+        if last is not None:
+            kept = self.manifest().join(written, "path", "left_anti")
+            if whole:
+                kept = kept.join(given.select("path"), "path", "left_semi")
+            rows = rows.unionByName(kept)
+        rows.write.parquet(f"{self.directory}/manifests/{name}")
+        self._commits.commit(1 if last is None else last[0] + 1, name=name)
+        return told
+
+    def manifest(self) -> DataFrame:
+        """``(path, file, revision)`` of the last version; ``revision`` is the SHA-256 of the file."""
+        last = self._commits.latest()
+        if last is None:
+            return self.spark.createDataFrame([], self._MANIFEST)
+        return self.spark.read.schema(self._MANIFEST).parquet(f"{self.directory}/manifests/{last[1]['name']}")
+
+    def read(self) -> DataFrame:
+        """``(path, content)`` of the last version, as ``sync`` takes it.
+
+        Only folders of versions that still have files in use are listed.
+        """
+        manifest = self.manifest()
+        folders = [r[0] for r in manifest.select(F.substring_index("file", "/", 1)).distinct().collect()]
+        if not folders:
+            return self.spark.createDataFrame([], "path string, content string")
+        found = (
+            self.spark.read.format("binaryFile")
+            .options(recursiveFileLookup=True, pathGlobFilter="*.md")
+            .load([f"{self.directory}/files/{folder}" for folder in folders])
+        )
+        file = F.regexp_extract("path", r"/files/(v[0-9]+_[0-9a-f]{32}/.*)", 1)
+        texts = found.select(file.alias("file"), F.col("content").cast("string").alias("content"))
+        return manifest.select("path", "file").join(texts, "file").select("path", "content")

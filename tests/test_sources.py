@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from linkloom.operators import storage
 from linkloom.sources import csv_files, markdown_tree, snapshots
 
 
@@ -73,6 +74,52 @@ def test_inventory_needs_columns(spark, tmp_path):
         csv_files.read_inventory(spark, write(tmp_path / "i.csv", "link,tags\nl,t\n"))
 
 
+@pytest.fixture
+def many_splits(spark):
+    """Small files are read in several parts, the larger files first."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_folders_go_by_header_and_order_of_each_file(spark, tmp_path, many_splits, multi_line):
+    folder = tmp_path / "in ventory"
+    folder.mkdir()
+    expected = []
+    layouts = [("link", "title", "frag1"), ("Title", "tags", "LINK"), ("link", "title", "frag1"), ("frag1", "title", "link", "title")]
+    for n, (names, size) in enumerate(zip(layouts, (3, 40, 1, 25))):
+        lines = [",".join(names)]
+        for i in range(size):
+            row = {"link": f"u{n}-{i}", "title": f"T{n}-{i}", "tags": f"g{i}", "frag1": f"f{n}"}
+            lines.append(",".join(row[name.lower()] for name in names))
+            expected.append((row["link"], row["title"], row["tags"] if "tags" in names else "", row["frag1"] if "frag1" in names else ""))
+        write(folder / f"{n}.csv", "\n".join(lines) + "\n")
+    write(folder / "9.csv", "")
+    read = csv_files.read_inventory(spark, str(folder), multi_line).orderBy("rec_pos").collect()
+    assert [(r.link, r.title, r.tags, r.frag1) for r in read] == expected
+    assert [r.rec_pos for r in read] == list(range(len(expected)))
+    urls = csv_files.read_seeds(spark, f"{folder}/*.csv", multi_line).orderBy("seed_pos").collect()
+    assert [(r.seed_pos, r.url) for r in urls] == [(i, e[0]) for i, e in enumerate(expected)]
+
+
+def test_every_file_of_a_folder_needs_the_columns(spark, tmp_path):
+    write(tmp_path / "a.csv", "link,title\nl,t\n")
+    write(tmp_path / "b.csv", "link,name\nl,t\n")
+    with pytest.raises(ValueError, match="'title' not found in .*b.csv"):
+        csv_files.read_inventory(spark, str(tmp_path))
+    assert csv_files.read_seeds(spark, str(tmp_path)).count() == 2
+
+
+def test_rejected_rows_name_their_file(spark, tmp_path):
+    write(tmp_path / "a.csv", "link,title\nl,t,x\n")
+    write(tmp_path / "b.csv", "link,title,tags\nl,t,x\nl,t\n")
+    bad = csv_files.rejected_rows(spark, str(tmp_path)).collect()
+    assert sorted((r.row, r.file[-5:]) for r in bad) == [("l,t", "b.csv"), ("l,t,x", "a.csv")]
+
+
 @pytest.mark.parametrize("multi_line", [True, False])
 def test_rows_of_another_width_are_rejected(spark, tmp_path, multi_line):
     path = write(tmp_path / "i.csv", "link,title\nl1,T1\nshort\nl2,T2,extra\nl3,T3\n")
@@ -92,13 +139,13 @@ def test_files_split_when_no_field_holds_a_line_break(spark, tmp_path):
 
 def test_discovery_report(spark, tmp_path):
     rows = [
-        ("b", 'l "q", 2', " lead", "deleted", 1, 0),
-        ("a", "l1", "T1", "available", 0, 0),
-        (None, "bad", "INVALID_URL", "invalid", 0, 3),
+        ("b", 'l "q", 2', " lead", "deleted", 1, 0, [0]),
+        ("a", "l1", "T1", "available", 0, 0, []),
+        (None, "bad", "INVALID_URL", "invalid", 0, 3, []),
     ]
     df = spark.createDataFrame(
         rows,
-        "file_id string, link string, title string, status string, depth int, seed_pos long",
+        "file_id string, link string, title string, status string, depth int, seed_pos long, trail array<int>",
     )
     out = tmp_path / "report"
     csv_files.write_discovery(df, str(out))
@@ -115,8 +162,8 @@ def test_discovery_report(spark, tmp_path):
 
 def test_report_reads_back_as_seeds(spark, tmp_path):
     df = spark.createDataFrame(
-        [("a", "l1", "T", "available", 0, 0)],
-        "file_id string, link string, title string, status string, depth int, seed_pos long",
+        [("a", "l1", "T", "available", 0, 0, [])],
+        "file_id string, link string, title string, status string, depth int, seed_pos long, trail array<int>",
     )
     csv_files.write_discovery(df, str(tmp_path / "r"))
     assert seeds(spark, str(tmp_path / "r")) == ["l1"]
@@ -157,6 +204,60 @@ def test_names_that_cannot_be_written_are_errors_of_their_rows(spark, tmp_path):
     assert written == {names[0], names[1], names[3], b"file"}
 
 
+def documents(spark, **texts):
+    rows = [(f"wiki/{name}.md", text) for name, text in texts.items()]
+    return spark.createDataFrame(rows, "path string, content string")
+
+
+def shown(tree):
+    rows = [tuple(r) for r in tree.read().collect()]
+    assert len(rows) == len(set(rows))
+    return {path.removeprefix("wiki/").removesuffix(".md"): text for path, text in rows}
+
+
+def test_a_tree_is_published_by_versions(spark, tmp_path):
+    tree = markdown_tree.MarkdownTree(spark, str(tmp_path))
+    assert shown(tree) == {}
+    tree.publish(documents(spark, **{"a": "1", "b": "1", "sub/c d": "é"}))
+    tree.publish(documents(spark, a="2", n=None, new="3"))
+    again = markdown_tree.MarkdownTree(spark, str(tmp_path))
+    assert shown(again) == {"a": "2", "b": "1", "sub/c d": "é", "new": "3"}
+    files = {r.path: r.file.split("_")[0] for r in again.manifest().collect()}
+    assert files == {"wiki/a.md": "v2", "wiki/b.md": "v1", "wiki/sub/c d.md": "v1", "wiki/new.md": "v2"}
+    again.publish(documents(spark, b="4", new="4"), whole=True)
+    assert shown(again) == {"b": "4", "new": "4"}
+
+
+@pytest.mark.parametrize("step", ["commit", "files"])
+def test_a_run_that_breaks_off_leaves_the_old_version(spark, tmp_path, monkeypatch, step):
+    tree = markdown_tree.MarkdownTree(spark, str(tmp_path))
+    tree.publish(documents(spark, a="old", b="old"))
+
+    def broken(*_, **__):
+        raise OSError("broken off")
+
+    with monkeypatch.context() as patch:
+        if step == "commit":
+            patch.setattr(storage.Commits, "commit", broken)
+        else:
+            patch.setattr(markdown_tree, "write_markdown_tree", broken)
+        with pytest.raises(OSError):
+            tree.publish(documents(spark, a="new", b="new", c="new"))
+    assert shown(tree) == {"a": "old", "b": "old"}
+    tree.publish(documents(spark, a="newer"))
+    assert shown(tree) == {"a": "newer", "b": "old"}
+
+
+def test_a_file_that_cannot_be_written_keeps_its_old_text(spark, tmp_path):
+    tree = markdown_tree.MarkdownTree(spark, str(tmp_path))
+    tree.publish(documents(spark, a="old", **{"x/y": "old"}))
+    told = tree.publish(documents(spark, a="new", **{"x" * 260: "new"}), whole=True).collect()
+    assert [r.error is None for r in sorted(told)] == [True, False]
+    assert shown(tree) == {"a": "new"}
+    told = tree.publish(spark.createDataFrame([("wiki/a.md", "newer"), ("wiki/a.md/in.md", "new")], "path string, content string"))
+    assert sum(r.error is None for r in told.collect()) == 1
+
+
 def test_document_table(spark, tmp_path):
     docs = spark.createDataFrame(
         [("a.md", "x", 1), ("b.md", None, 2)], "path string, content string, n int"
