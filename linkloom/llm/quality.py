@@ -2,9 +2,13 @@
 
 Each rule looks at counts of a text and votes good (+1), bad (-1) or abstains
 (0). Expectation-maximisation over the vote patterns of all documents estimates
-how often each rule is right when it votes, and from that the posterior
-probability that a document is good. That probability replaces the usual demand
-that all rules pass.
+how often each rule votes good, votes bad and abstains for good documents and for
+bad ones, and from that the posterior probability that a document is good. That
+probability replaces the usual demand that all rules pass. Abstaining counts as
+evidence too, as far as it is more frequent in one of the classes.
+
+The classes are what several rules agree on. So that there is something to agree
+on, symbols are looked at in two ways, per word and per character.
 """
 
 import math
@@ -88,64 +92,81 @@ class VotingRule:
 
 
 RULES = (
-    VotingRule("length", "n_words < 20", "n_words >= 50"),
-    VotingRule("word_length", "word_chars < 2 * n_words OR word_chars > 12 * n_words", "word_chars <= 9 * n_words"),
-    VotingRule("symbols", "10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
-    VotingRule("dup_lines", "10 * n_dup_lines > 3 * n_lines", "20 * n_dup_lines <= n_lines"),
-    VotingRule("repeats", "10 * n_repeat_words > n_words", "50 * n_repeat_words <= n_words"),
-    VotingRule("line_length", "n_words > 500 * n_lines OR n_words < 2 * n_lines", "n_words >= 5 * n_lines"),
+    VotingRule("length", "n_words < 20", "n_words >= 100"),
+    VotingRule("word_length", "word_chars < 3 * n_words OR word_chars > 10 * n_words", "2 * word_chars >= 9 * n_words AND word_chars <= 6 * n_words"),
+    VotingRule("symbols", "10 * n_symbols > n_words", "n_symbols = 0"),
+    VotingRule("symbol_share", "20 * n_symbols > word_chars", "100 * n_symbols <= word_chars"),
+    VotingRule("repetition", "10 * n_dup_lines > 3 * n_lines OR 10 * n_repeat_words > n_words", "n_repeat_words = 0 AND n_dup_lines = 0"),
+    VotingRule("line_length", "n_words > 500 * n_lines OR n_words < 2 * n_lines", "n_words >= 5 * n_lines AND n_words <= 100 * n_lines"),
 )
-ITERATIONS = 40
-ACCURACY_START, ACCURACY_LEAST, ACCURACY_MOST = 0.7, 0.55, 0.99
-PRIOR_LEAST, PRIOR_MOST = 0.05, 0.95
+ITERATIONS = 60
+VOTES = (-1, 0, 1)
+#: Rates of voting bad, abstaining and voting good that estimation starts from, for
+#: bad and for good documents. They say which of the hidden classes is the good one.
+START = ((0.4, 0.3, 0.3), (0.1, 0.2, 0.7))
+START_PRIOR = 0.8
+#: Documents that are added to each count, so that no rate is zero.
+SMOOTHING = 1.0
 KEEP_FROM = 0.5
 BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Share of good documents and each rule's accuracy when it votes."""
+    """Share of good documents, and per class (bad, good) and rule the rates of ``VOTES``."""
 
     prior: float
-    accuracies: tuple[float, ...]
+    rates: tuple[tuple[tuple[float, ...], ...], ...]
+
+    def weight(self, rule: int, vote: int) -> float:
+        """What a rule's vote adds to the log-odds of a good document."""
+        bad, good = (of_class[rule][VOTES.index(vote)] for of_class in self.rates)
+        return math.log(good) - math.log(bad)
+
+    @property
+    def accuracies(self) -> tuple[float, ...]:
+        """How often each rule is right when it votes."""
+        of_rules = zip(*self.rates)
+        votes = (((1 - self.prior) * bad[0], self.prior * good[2], (1 - self.prior) * bad[2] + self.prior * good[0]) for bad, good in of_rules)
+        return tuple((right_bad + right_good) / (right_bad + right_good + wrong) for right_bad, right_good, wrong in votes)
+
+    @property
+    def start(self) -> float:
+        return math.log(self.prior) - math.log(1 - self.prior)
 
     def log_odds(self, votes) -> float:
-        total = math.log(self.prior / (1 - self.prior))
-        for vote, right in zip(votes, self.accuracies):
-            total += vote * math.log(right / (1 - right))
-        return total
+        return self.start + sum(self.weight(rule, vote) for rule, vote in enumerate(votes))
 
     def posterior(self, votes: list[Column]) -> Column:
         """The same as a column over vote columns."""
-        total = F.lit(math.log(self.prior / (1 - self.prior)))
-        for vote, right in zip(votes, self.accuracies):
-            total = total + vote * F.lit(math.log(right / (1 - right)))
+        total = F.lit(self.start)
+        for rule, vote in enumerate(votes):
+            weights = F
+            for v in VOTES:
+                weights = weights.when(vote == v, F.lit(self.weight(rule, v)))
+            total = total + weights
         return 1 / (1 + F.exp(-total))
 
 
 def fit_label_model(patterns: Mapping[tuple[int, ...], int], rules: int) -> LabelModel:
     """Expectation-maximisation over counted vote patterns.
 
-    Accuracies stay above a half: that fixes which of the two hidden classes is
-    the good one. Without documents the model keeps its start.
+    Without documents the model keeps its start.
     """
-    model = LabelModel(0.5, (ACCURACY_START,) * rules)
+    model = LabelModel(START_PRIOR, tuple((of_class,) * rules for of_class in START))
     total = sum(patterns.values())
     for _ in range(ITERATIONS if total else 0):
         good = 0.0
-        right, voted = [0.0] * rules, [0] * rules
+        counts = [[[SMOOTHING] * len(VOTES) for _ in range(rules)] for _ in START]
         for votes, count in sorted(patterns.items()):
             p = 1 / (1 + math.exp(-model.log_odds(votes)))
             good += count * p
-            for r, vote in enumerate(votes):
-                if vote:
-                    voted[r] += count
-                    right[r] += count * (p if vote > 0 else 1 - p)
-        accuracies = (
-            min(max(a / n, ACCURACY_LEAST), ACCURACY_MOST) if n else ACCURACY_START
-            for a, n in zip(right, voted)
-        )
-        model = LabelModel(min(max(good / total, PRIOR_LEAST), PRIOR_MOST), tuple(accuracies))
+            for rule, vote in enumerate(votes):
+                at = VOTES.index(vote)
+                counts[0][rule][at] += count * (1 - p)
+                counts[1][rule][at] += count * p
+        rates = tuple(tuple(tuple(n / sum(of_rule) for n in of_rule) for of_rule in of_class) for of_class in counts)
+        model = LabelModel((good + SMOOTHING) / (total + 2 * SMOOTHING), rates)
     return model
 
 
@@ -196,14 +217,20 @@ def _sql() -> str:
     cases = [f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END" for r in RULES]
     votes = ", ".join(f"{c} AS v{i}" for i, c in enumerate(cases))
     names = ", ".join(f"v{i}" for i in range(n))
-    logit = "ln(pi / (1 - pi))" + "".join(f" + v{i} * ln(a{i} / (1 - a{i}))" for i in range(n))
-    p = f"(1 / (1 + exp(-({logit}))))"
-    accuracies = ", ".join(
-        f"""coalesce(least(greatest(sum(CASE WHEN v{i} > 0 THEN c * p WHEN v{i} < 0 THEN c * (1 - p) ELSE 0 END)
-         / nullif(sum(CASE WHEN v{i} <> 0 THEN c ELSE 0 END), 0), {ACCURACY_LEAST}), {ACCURACY_MOST}), {ACCURACY_START}) AS a{i}"""
+    # Column b0_1, z0_1, g0_1: rates of rule 0 to vote bad, abstain and vote good for good documents (1).
+    weights = "".join(
+        f" + CASE v{i} WHEN -1 THEN ln(b{i}_1) - ln(b{i}_0) WHEN 0 THEN ln(z{i}_1) - ln(z{i}_0) ELSE ln(g{i}_1) - ln(g{i}_0) END"
         for i in range(n)
     )
-    start = ", ".join(f"CAST({ACCURACY_START} AS DOUBLE) AS a{i}" for i in range(n))
+    p = f"(1 / (1 + exp(-(ln(pi) - ln(1 - pi){weights}))))"
+    of_class = {0: "c * (1 - p)", 1: "c * p"}
+    rates = ", ".join(
+        f"({SMOOTHING} + sum(CASE WHEN v{i} = {v} THEN {of_class[k]} ELSE 0 END)) / ({len(VOTES) * SMOOTHING} + sum({of_class[k]})) AS {letter}{i}_{k}"
+        for i in range(n) for k in (0, 1) for letter, v in zip("bzg", VOTES)
+    )
+    start = ", ".join(
+        f"CAST({START[k][v]} AS DOUBLE) AS {letter}{i}_{k}" for i in range(n) for k in (0, 1) for v, letter in enumerate("bzg")
+    )
     blank = r"[ \t\n\x0b\f\r]"
     return f"""
 WITH RECURSIVE src AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
@@ -221,9 +248,9 @@ counted AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_
 voted AS (SELECT *, {votes} FROM counted),
 patterns AS (SELECT {names}, count(*) AS c FROM voted GROUP BY ALL),
 em AS (
-  SELECT 0 AS it, CAST(0.5 AS DOUBLE) AS pi, {start}
+  SELECT 0 AS it, CAST({START_PRIOR} AS DOUBLE) AS pi, {start}
   UNION ALL
-  SELECT it + 1, least(greatest(sum(c * p) / sum(c), {PRIOR_LEAST}), {PRIOR_MOST}) AS pi, {accuracies}
+  SELECT it + 1, (sum(c * p) + {SMOOTHING}) / (sum(c) + {2 * SMOOTHING}) AS pi, {rates}
   FROM (SELECT em.it, patterns.*, {p} AS p FROM em, patterns WHERE em.it < {ITERATIONS}) GROUP BY it),
 model AS (SELECT * FROM em WHERE it = {ITERATIONS})
 SELECT doc_id, {', '.join(LONG_COUNTS[:5])}, ({BASE_FAILED}) AS base_failed,
