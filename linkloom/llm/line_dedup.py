@@ -104,11 +104,19 @@ def recurring_lines(docs: DataFrame, text: str, doc: str, keyed: DataFrame, run:
     each shuffle, so a line of all documents costs no more than a rare one.
     """
     body = F.col(f"`{text}`")
-    near = near_classes(docs.filter(body.isNotNull()).select(text_key(body).alias("key"), body.alias("text")), run)
-    once = keyed.groupBy("line", "leaf", "n", "key").agg(F.lit(1).alias("one")).join(near, "key", "left")
-    held = run.keep(once.select("line", "leaf", "n", F.coalesce("root", "key").alias("class")).distinct(), "held")
-    counted = run.keep(held.groupBy("line", "leaf", "n").agg(F.count("*").alias("n_docs")), "counted")
     short = F.col("n") < least_tokens
+    by_text = run.keep(keyed.groupBy("line", "leaf", "n", "key").agg(F.lit(1).alias("one")).drop("one"), "by_text")
+    # Only lines of a leaf that enough texts reach can recur, and only their texts have to be told apart.
+    lines = by_text.groupBy("line", "leaf", "n").agg(F.count("*").alias("n_texts"))
+    lines = run.keep(lines, "lines")
+    leaves = lines.filter(~short).groupBy("leaf").agg(F.sum("n_texts").alias("n")).filter(F.col("n") >= least_docs).select("leaf")
+    long_enough = lines.filter(~short).join(leaves, "leaf", "left_semi").select("line")
+    open_keys = run.keep(long_enough.union(lines.filter(short & (F.col("n_texts") >= short_docs)).select("line")), "open_lines")
+    once = run.keep(by_text.join(open_keys, "line", "left_semi"), "once")
+    texts = docs.select(text_key(body).alias("key"), body.alias("text"))
+    near = near_classes(texts, run, only=run.keep(once.select("key").distinct(), "open_keys"))
+    held = run.keep(once.join(near, "key", "left").select("line", "leaf", "n", F.coalesce("root", "key").alias("class")).distinct(), "held")
+    counted = run.keep(held.groupBy("line", "leaf", "n").agg(F.count("*").alias("n_docs")), "counted")
     same = counted.filter(F.col("n_docs") >= F.when(short, short_docs).otherwise(least_docs)).select("line")
     # Leaves that several lines of too few documents share may hide a template.
     rare = counted.filter(~short & (F.col("n_docs") < least_docs))

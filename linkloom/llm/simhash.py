@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.common import text_key
 from linkloom.llm.components import connected_components
-from linkloom.llm.near_texts import near_classes
 from linkloom.operators.storage import RunFolder
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -265,12 +264,8 @@ def near_duplicates(docs: DataFrame, text: str, keys: dict[str, Column], doc: st
     return prints, run.keep(rooted.join(least, "root").select("print", "component", "copies"), "classes")
 
 
-def keep_one_per_group(docs: DataFrame, text: str = "text", doc: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of the least ``doc``.
-
-    Groups are fingerprints within the radius or, with ``similarity``, texts whose
-    five-word shingles are at least that similar (``near_texts``), which fingerprints
-    of 64 bits cannot tell at a radius that can be searched.
+def keep_one_per_group(docs: DataFrame, text: str = "text", doc: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each group of fingerprints within the radius: that of the least ``doc``.
 
     Null texts count as empty ones and form one group with them. Of rows that share
     the least ``doc``, the one with the least text key stays; of wholly repeated
@@ -278,15 +273,10 @@ def keep_one_per_group(docs: DataFrame, text: str = "text", doc: str = "doc_id",
     """
     run = RunFolder(docs.sparkSession, "simhash")
     keys = {"doc": F.col(f"`{doc}`"), "key": text_key(F.col(f"`{text}`"))}
-    if similarity is None:
-        prints, classes = near_duplicates(docs, text, keys, "doc", run, radius, shingle)
-        member = prints.join(classes.select("print", "component"), "print")
-        # Components are told apart by their least document; those without one by print.
-        group = F.struct("component", F.when(F.col("component").isNull(), F.col("print")).alias("print"))
-    else:
-        texts = docs.select(keys["key"].alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-        member = docs.select(*(c.alias(k) for k, c in keys.items())).join(near_classes(texts, run, similarity), "key", "left")
-        group = F.coalesce("root", "key")
+    prints, classes = near_duplicates(docs, text, keys, "doc", run, radius, shingle)
+    member = prints.join(classes.select("print", "component"), "print")
+    # Components are told apart by their least document; those without one by print.
+    group = F.struct("component", F.when(F.col("component").isNull(), F.col("print")).alias("print"))
     order = F.struct(F.col("doc").isNull(), "doc", "key")
     best = member.groupBy(group.alias("group")).agg(F.min(order).alias("best"))
     chosen = run.keep(best.select("best.doc", "best.key").distinct(), "chosen")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from linkloom.llm import line_dedup, mixing, neighbours, packing, quality, sharding, simhash, substrings, toxicity, url_filter
 from linkloom.llm.components import connected_components
+from linkloom.llm.near_texts import near_classes
 from linkloom.llm.queries import QUERIES, SQL
 from linkloom.operators.storage import RunFolder
 
@@ -154,7 +155,13 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-def test_pipeline_near_dedup_drops_edited_copies(spark):
+def near_roots(spark, texts):
+    keyed = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    found = {r["key"]: r["root"] for r in near_classes(keyed, RunFolder(spark, "test")).collect()}
+    return [found.get(i, i) for i in range(len(texts))]
+
+
+def test_near_classes_join_edited_copies(spark):
     rng = random.Random(10)
     texts, groups = [], []
     for n in range(150):
@@ -168,17 +175,20 @@ def test_pipeline_near_dedup_drops_edited_copies(spark):
         assert jaccard(texts[-3], texts[-1]) < 0.6
     assert min(groups) < 0.83 and max(groups) > 0.95
     near = [g >= 0.8 for g in groups]
-    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, texts), "").collect()}
+    kept = {i for i, root in enumerate(near_roots(spark, texts)) if root == i}
     assert {3 * n for n in range(150)} | {3 * n + 2 for n in range(150)} <= kept
     found = sum(3 * n + 1 not in kept for n in range(150) if near[n])
     assert found >= 0.98 * sum(near) and all(3 * n + 1 in kept for n in range(150) if not near[n])
 
 
-def test_near_copies_are_joined_past_the_first_of_a_band(spark):
-    words = [f"w{i}" for i in range(300)]
-    chain = [" ".join(words[i * 12 : i * 12 + 200]) for i in range(8)]
-    kept = corpus_pipeline.near_dedup(spark, docs(spark, chain), "").collect()
-    assert jaccard(chain[0], chain[7]) < 0.8 <= min(jaccard(a, b) for a, b in itertools.pairwise(chain)) and [r.doc_id for r in kept] == [0]
+def test_pipeline_near_dedup_is_that_of_the_operator(spark):
+    words = " ".join(f"w{i}" for i in range(400))
+    texts = [words, words.upper(), words + "\n", PROSE, "", None, words.replace("w7 ", "x ")]
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, texts), "").collect()}
+    prints = simhash.fingerprints(docs(spark, texts), "text", {"doc_id": F.col("doc_id")}).collect()
+    distance = {r.doc_id: ((r.print ^ prints[0].print) & (2**64 - 1)).bit_count() for r in prints}
+    assert prints[0].doc_id == 0 and distance[1] == distance[2] == 0
+    assert kept == {0, 3, 4} | ({6} if distance[6] > 2 else set())
 
 
 def test_host_reputation_blocks_bad_hosts_only(spark):
@@ -201,6 +211,24 @@ def test_label_model_trusts_the_rules_that_agree():
     assert model.accuracies[0] > 0.9 and model.accuracies[3] < 0.7
 
 
+def test_abstaining_tells_classes_apart():
+    """One rule never votes bad; that it abstains for bad documents is what counts."""
+    patterns = {(1, 1, 1): 900, (-1, -1, 0): 80, (0, 0, 0): 20}
+    model = quality.fit_label_model(patterns, 3)
+    assert model.log_odds((1, 1, 1)) > 0 > model.log_odds((-1, -1, 0)) and model.weight(2, 0) < 0 < model.weight(2, 1)
+
+
+def test_quality_rejects_beyond_the_base_rules(spark):
+    folder = "/root/testdata/sf0.01"
+    kept = quality.op4_quality_rules(spark, folder).select("doc_id", "base_failed", "kept")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = kept.join(labels, "doc_id").collect()
+    bad = [r.kept for r in rows if r.quality == 0]
+    good = [r.kept for r in rows if r.quality == 1 and not r.base_failed]
+    assert any(not r.kept and not r.base_failed for r in rows)
+    assert sum(bad) <= 0.2 * len(bad) and sum(good) >= 0.98 * len(good)
+
+
 def test_repeated_windows_count_each_word_once(spark):
     def model(text):
         words = text.split()
