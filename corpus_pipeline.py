@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.line_dedup import drop_recurring_lines
 from linkloom.llm.mixing import mix_documents
-from linkloom.llm.near_texts import SIMILARITY
 from linkloom.llm.packing import pack_documents
 from linkloom.llm.simhash import keep_one_per_group
 from linkloom.llm.toxicity import drop_toxic
@@ -34,8 +33,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are 0.8 similar or more."""
-    return keep_one_per_group(docs, similarity=SIMILARITY)
+    """One document of each group of texts whose SimHash fingerprints (three-word shingles) differ by two bits at most.
+
+    Null texts count as empty, and those are one group; of repeated rows one stays.
+    """
+    return keep_one_per_group(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
