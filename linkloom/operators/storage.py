@@ -1,6 +1,8 @@
 """Intermediate results written to the cluster's shared checkpoint folder."""
 
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -64,6 +66,24 @@ class RunFolder:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{table}")
 
 
+def remove_old_runs(spark: SparkSession, hours: float = 168.0) -> int:
+    """Delete the run folders that were made more than ``hours`` ago; how many.
+
+    A result is read from its run's tables, so a run must have been used up by
+    then. Other folders of the checkpoint folder are left alone.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(checkpoint_folder(spark))
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = (time.time() - 3600 * hours) * 1000
+    removed = 0
+    for status in system.listStatus(root) if system.exists(root) else ():
+        name = status.getPath().getName()
+        if re.fullmatch(r"[a-z_]+_[0-9a-f]{32}", name) and status.isDirectory() and status.getModificationTime() < before:
+            removed += bool(system.delete(status.getPath(), True))
+    return removed
+
+
 class Commits:
     """The versions of something that consists of several tables or files.
 
