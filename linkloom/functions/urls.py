@@ -123,11 +123,6 @@ def markdown_link_urls(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(MARKDOWN_LINK), F.lit(3))
 
 
-def markdown_link_labels(text: Column) -> Column:
-    """Label of every Markdown link to a drive host, in order."""
-    return F.regexp_extract_all(text, F.lit(MARKDOWN_LINK), F.lit(2))
-
-
 def links_with_text(text: Column) -> Column:
     """Every Markdown link to a drive host, with the text from the match before it on."""
     return F.regexp_extract_all(text, F.lit(MARKDOWN_LINK), F.lit(0))

@@ -8,13 +8,12 @@ front of it.
 import re
 
 from linkloom.fixtures import VIEWS
+from linkloom.functions import fixed_values
 
-_H = r"https://(?:drive\.google\.com|docs\.google\.com)/"
+_H = fixed_values.URL_HEAD
 _MD_LINK = rf"\[([^\]]+)\]\(({_H}[^\)]+)\)"
-_WORKSPACE = "application/vnd.google-apps."
-_DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
-_PPTX = "application/vnd.openxmlformats-officedocument.presentationml.presentation"
-_XLSX = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
+_WORKSPACE, _DOCX = fixed_values.WORKSPACE_PREFIX, fixed_values.DOCX
+_PPTX, _XLSX = [mime for mime in fixed_values.MIME_KINDS if "openxmlformats" in mime]
 
 
 def _file_id(url: str) -> str:
@@ -83,16 +82,7 @@ def _rewritten(links: str, sources: str) -> str:
 """
 
 
-_KEYS = (
-    "description",
-    "editor",
-    "gdrive-link",
-    "hash-gdrive",
-    "hash-content",
-    "published",
-    "tags",
-    "title",
-)
+_KEYS = fixed_values.FRONT_MATTER_KEYS
 
 
 def _closure_levels(depth: int) -> dict[str, str]:
