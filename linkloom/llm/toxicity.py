@@ -71,7 +71,10 @@ def features(text: str | None, wanted=None) -> list[str]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
-    """``(doc_id, text, toxic)`` of at most ``limit`` labelled documents of the learning folds."""
+    """``(doc_id, text, toxic)`` of at most ``limit`` labelled documents of the learning folds.
+
+    One row per ID: of several labels the larger counts, of several texts the least.
+    """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
     known = (
         labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(fold != 0)
@@ -79,7 +82,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) ->
         .orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(limit)
     )
     # At most ``limit`` rows of 12 bytes, so the broadcast is bounded.
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def _with_features(rows: DataFrame, wanted=None) -> DataFrame:
