@@ -55,6 +55,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, run: RunFolder, name: str, simi
     that one text lacks, one in four billion times their number is taken for another's.
     """
     wanted = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
+    wanted = run.keep(wanted, f"{name}_wanted")  # texts stay where they are if these are few
     sets = texts.join(wanted, "key", "left_semi").select("key", F.array_distinct(F.transform(shingles(F.col("text")), _upper_half)).alias("set"))
     sets = run.keep(sets.dropDuplicates(["key"]), f"{name}_sets")
     left, right = sets.select(F.col("key").alias("u"), F.col("set").alias("a")), sets.select(F.col("key").alias("v"), F.col("set").alias("b"))
