@@ -2,8 +2,10 @@
 
 The tree has a fixed depth: the number of tokens of a line, then its leading
 tokens. Tokens with digits are variable fields from the start. Within a leaf, a
-place whose token varies from line to line becomes a variable field of the leaf's
-template. Lines of a template that recurs across documents are dropped, whatever
+place whose token varies from line to line becomes a variable field. A line may fit
+two kinds of templates: the leaf's common one, of the tokens that most documents agree on, and one
+of all its tokens that recur in their places, of which a leaf has as many as it
+takes. Lines of a template that recurs across documents are dropped, whatever
 share of a document they are. Equal and near-equal texts count as one document, so
 that copies do not make their own lines recur.
 """
@@ -118,24 +120,46 @@ def recurring_lines(docs: DataFrame, text: str, doc: str, keyed: DataFrame, run:
     held = run.keep(once.join(near, "key", "left").select("line", "leaf", "n", F.coalesce("root", "key").alias("class")).distinct(), "held")
     counted = run.keep(held.groupBy("line", "leaf", "n").agg(F.count("*").alias("n_docs")), "counted")
     same = counted.filter(F.col("n_docs") >= F.when(short, short_docs).otherwise(least_docs)).select("line")
-    # Leaves that several lines of too few documents share may hide a template.
-    rare = counted.filter(~short & (F.col("n_docs") < least_docs))
-    leaves = rare.groupBy("leaf").agg(F.sum("n_docs").alias("n_docs"), F.count("*").alias("n")).filter((F.col("n_docs") >= least_docs) & (F.col("n") > 1))
-    open_lines = run.keep(rare.join(leaves.select("leaf"), "leaf").select("line", "leaf", "n_docs"), "open")
+    # All lines of a leaf make its templates, by their documents, recurring ones too.
+    long_lines = counted.filter(~short)
+    leaves = long_lines.groupBy("leaf").agg(F.sum("n_docs").alias("n_docs"), F.count("*").alias("n")).filter((F.col("n_docs") >= least_docs) & (F.col("n") > 1))
+    open_lines = run.keep(long_lines.join(leaves.select("leaf"), "leaf", "left_semi").select("line", "leaf", "n_docs"), "open")
     texts = run.keep(_first_texts(docs, text, doc, keyed, open_lines), "open_texts")
-    places = texts.select("leaf", "n_docs", F.posexplode("tokens").alias("place", "token"))
-    tokens = places.groupBy("leaf", "place", "token").agg(F.sum("n_docs").alias("n"))
+    places = texts.select("line", "leaf", "n_docs", F.posexplode("tokens").alias("place", "token"))
+    tokens = run.keep(places.groupBy("leaf", "place", "token").agg(F.sum("n_docs").alias("n")), "tokens")
+    templates = run.keep(_common_template(texts, tokens).union(_recurring_templates(texts, places, tokens, least_docs)), "templates")
+    # Variants of a line in one class are one document for their template.
+    found = held.join(templates, ["line", "leaf"]).groupBy("template", "class").agg(F.lit(1).alias("n"))
+    kept = found.groupBy("template").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= least_docs)
+    return same.union(templates.join(kept, "template", "left_semi").select("line")).distinct()
+
+
+def _common_template(texts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``(line, leaf, template)`` of the lines that fit their leaf's one template of the tokens most documents agree on."""
     most = tokens.groupBy("leaf", "place").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("most"))
     fixed = F.when(F.col("most.n") * 100 >= F.col("all") * AGREE, F.col("most.token"))
     # Every place has an entry, so the sorted entries are the template; fields are null.
     entries = F.sort_array(F.collect_list(F.struct("place", fixed.alias("token"))))
-    templates = most.groupBy("leaf").agg(entries.alias("template"))
-    agree = F.size(F.filter(F.zip_with("tokens", F.col("template.token"), lambda a, b: a == b), lambda x: x))
-    alike = run.keep(texts.join(templates, "leaf").filter(agree * 100 >= F.size("tokens") * FIXED).select("line", "leaf"), "alike")
-    # Variants of a line in one class are one document for their template.
-    found = held.join(alike.select("line"), "line").groupBy("leaf", "class").agg(F.lit(1).alias("n"))
-    kept = found.groupBy("leaf").agg(F.count("*").alias("leaf_docs")).filter(F.col("leaf_docs") >= least_docs)
-    return same.union(alike.join(kept, "leaf").select("line"))
+    common = most.groupBy("leaf").agg(entries.alias("common"))
+    agree = F.size(F.filter(F.zip_with("tokens", F.col("common.token"), lambda a, b: a == b), lambda x: x))
+    alike = texts.join(common, "leaf").filter(agree * 100 >= F.size("tokens") * FIXED)
+    return alike.select("line", "leaf", F.xxhash64(F.lit("common"), "leaf").alias("template"))
+
+
+def _recurring_templates(texts: DataFrame, places: DataFrame, tokens: DataFrame, least_docs: int) -> DataFrame:
+    """``(line, leaf, template)`` by the tokens that recur in their place of the leaf; the others are fields.
+
+    A leaf has as many templates as its recurring tokens make. Those of a line that are
+    fewer than ``FIXED`` of its places are none.
+    """
+    recurring = tokens.filter(F.col("n") >= least_docs).select("leaf", "place", "token")
+    # A place and its token as one number, added up: the order of rows does not matter.
+    held = places.join(recurring, ["leaf", "place", "token"]).groupBy("line", "leaf").agg(
+        F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("place", "token")).alias("tokens_key")
+    )
+    sized = texts.select("line", F.size("tokens").alias("n"))
+    alike = held.join(sized, "line").filter(F.col("fixed") * 100 >= F.col("n") * FIXED)
+    return alike.select("line", "leaf", F.xxhash64(F.lit("recurring"), "leaf", "fixed", "tokens_key").alias("template"))
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", depth: int = DEPTH,
