@@ -29,6 +29,12 @@ CONTENTS_SCHEMA = T.StructType(
         T.StructField("markdown", T.StringType()),
     ]
 )
+PARENTS_SCHEMA = T.StructType(
+    [
+        T.StructField("child", T.StringType()),
+        T.StructField("parent", T.StringType()),
+    ]
+)
 PRESENCE_SCHEMA = T.StructType(
     [
         T.StructField("file_id", T.StringType()),
@@ -41,6 +47,11 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FILES_SCHEMA).parquet(path)
 
 
+def scan_parents(spark: SparkSession, path: str) -> DataFrame:
+    """``(child, parent)``, a row for each folder that a file or folder lies in."""
+    return spark.read.schema(PARENTS_SCHEMA).parquet(path)
+
+
 def scan_contents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CONTENTS_SCHEMA).parquet(path)
 

@@ -266,6 +266,16 @@ def test_document_table(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [("a.md", "x")]
 
 
+def test_parents_and_presence_are_read_by_their_schemas(spark, tmp_path):
+    spark.createDataFrame([(1, "b", "a")], "n int, parent string, child string").write.parquet(str(tmp_path / "parents"))
+    parents = snapshots.scan_parents(spark, str(tmp_path / "parents"))
+    assert [tuple(r) for r in parents.collect()] == [("a", "b")]
+    texts = spark.createDataFrame([("f", "x"), ("g", None)], snapshots.CONTENTS_SCHEMA)
+    landed, presence = snapshots.land_contents(texts, str(tmp_path / "landed"))
+    assert sorted(tuple(r) for r in landed.collect()) == [("f", "x"), ("g", None)]
+    assert [tuple(r) for r in presence.collect()] == [("f", 1)]
+
+
 def test_snapshots_prune_columns(spark, tmp_path):
     spark.createDataFrame(
         [("f", "N", "m", "p", "t", False, 200)], snapshots.FILES_SCHEMA
