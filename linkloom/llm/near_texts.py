@@ -18,8 +18,8 @@ from linkloom.llm.components import connected_components
 from linkloom.operators.storage import RunFolder
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: A pair of similarity s is a candidate with 1 - (1 - s^ROWS)^BANDS: 0.998 at 0.8.
-ROWS, BANDS = 4, 12
+#: A pair of similarity s is a candidate with 1 - (1 - s^ROWS)^BANDS: 0.997 at 0.8.
+ROWS, BANDS = 3, 8
 
 _MASKS = [random.Random(k).getrandbits(64) - (1 << 63) for k in range(ROWS * BANDS)]
 
@@ -59,7 +59,8 @@ def _checked(pairs: DataFrame, texts: DataFrame, run: RunFolder, name: str, simi
     sets = texts.join(wanted, "key", "left_semi").select("key", F.array_distinct(F.transform(shingles(F.col("text")), _upper_half)).alias("set"))
     sets = run.keep(sets.dropDuplicates(["key"]), f"{name}_sets")
     left, right = sets.select(F.col("key").alias("u"), F.col("set").alias("a")), sets.select(F.col("key").alias("v"), F.col("set").alias("b"))
-    sized = pairs.join(left, "u").join(right, "v").select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("both"))
+    # Sets are about as large as texts, so they are never sent to all tasks, however few there are.
+    sized = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("both"))
     return run.keep(sized.filter(F.col("n") >= similarity * (F.col("both") - F.col("n"))).select("u", "v"), f"{name}_links")
 
 
