@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.operators.storage import Commits, RunFolder
+from linkloom.operators.storage import Commits, RunFolder, located
 
 
 def read_markdown_tree(spark: SparkSession, directory: str) -> DataFrame:
@@ -41,22 +41,21 @@ def write_markdown_tree(documents: DataFrame, directory: str = "") -> DataFrame:
 
     ``documents`` is a result of ``convert`` or of ``sync``; rows without content
     are passed over. Paths lie below ``directory``, when it is given. On a cluster
-    that must be a URI of a place that all executors share. A name that cannot be
+    that must be a place that all executors share, as a URI or as a path in Spark's
+    default file system. A name that cannot be
     written is that document's error and ends nothing. A file is written under
     another name in its folder and then moved, so a task that is run again leaves
     whole files only.
     """
     spark = documents.sparkSession
-    if "://" not in directory and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("on a cluster, name a shared directory by its URI")
+    if not directory and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster, name a shared directory")
+    place = located(spark, directory) if directory else ""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        if "://" in directory:
-            system, root = fs.FileSystem.from_uri(directory)
-        else:
-            system, root = fs.LocalFileSystem(), directory
+        system, root = fs.FileSystem.from_uri(place) if place else (fs.LocalFileSystem(), "")
         below = root.rstrip("/").encode() + b"/" if root else b""
 
         def put(target: bytes, content: pa.Scalar) -> None:

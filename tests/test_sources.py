@@ -190,6 +190,20 @@ def test_markdown_tree_round_trip(spark, tmp_path):
     assert not list(tmp_path.rglob("*.part"))
 
 
+def test_trees_lie_where_spark_looks_for_them(spark, tmp_path):
+    """Folders in Hadoop's form of a URI and on a mount that only Spark knows."""
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.trees.link./here", f"file://{tmp_path}")
+    for n, root in enumerate((f"file:{tmp_path}", "viewfs://trees/here")):
+        assert storage.located(spark, f"{root}/in {n}").replace("///", "/") == f"file:{tmp_path}/in%20{n}"
+        docs = documents(spark, **{"a b": f"{n}"})
+        assert [r.error for r in markdown_tree.write_markdown_tree(docs, f"{root}/plain {n}").collect()] == [None]
+        assert (tmp_path / f"plain {n}/wiki/a b.md").read_text() == f"{n}"
+        tree = markdown_tree.MarkdownTree(spark, f"{root}/tree {n}")
+        tree.publish(docs)
+        assert shown(tree) == {"a b": f"{n}"}
+
+
 def test_names_that_cannot_be_written_are_errors_of_their_rows(spark, tmp_path):
     cut = "é".encode()[:1]
     names = [b"x" * 252 + b".md", "é".encode() * 126 + b".md", b"y" * 256 + b".md", b"a/" + cut + b"/z.md", b"file", b"file/in.md"]
