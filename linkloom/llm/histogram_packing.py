@@ -35,8 +35,8 @@ REMEMBERED, LONGEST_REMEMBERED = 1_000_000, 48
 SLICE = 1 << 20
 ROWS_OUT = 20_000
 
-# A single mark after a letter and before a blank is a unit of its own.
-_MARK = re.compile(r"[.,;:!?](?<=[a-zß-öø-ÿ][.,;:!?])(?=[ \n])")
+# Marks between a letter and a blank are a unit of their own, unless there is an apostrophe among them.
+_MARKS = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[a-zß-öø-ÿ].)[!-&(-/:-@\[-`{-~]*+(?![^ \n])")
 
 
 @dataclass(frozen=True)
@@ -104,14 +104,20 @@ class Tokens:
     """
 
     def __init__(self, vocabulary: str | None = None):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        if vocabulary is None:
+        own = vocabulary is None
+        if own:
             import public_tokenizers
 
             vocabulary = public_tokenizers.path("word_bpe_49k.json")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         self._tokenizer = Tokenizer.from_file(vocabulary)
+        # The same model for words that this vocabulary neither changes nor takes apart.
+        self._plain = Tokenizer(self._tokenizer.model) if own else None
+        if own:
+            by_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self._plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), by_bytes])
         tokens = self._tokenizer.get_vocab(with_added_tokens=False)
         self._ends_unit = np.zeros(max(tokens.values()) + 1, bool)
         self._ends_unit[[i for token, i in tokens.items() if token.endswith("</w>")]] = True
@@ -133,17 +139,24 @@ class Tokens:
         return joined
 
     def _learn(self, words: list[str]) -> None:
-        letters = [w for w in words if w.isalpha()]
-        rest = [w for w in words if not w.isalpha()]
+        plain, letters, rest = [], [], []
+        for w in words:
+            if not w.isalpha():
+                rest.append(w)
+            elif self._plain is not None and max(w) <= "\xff" and w == w.lower():
+                plain.append(w)
+            else:
+                letters.append(w)
+        self._known.update(zip(plain, self._encode_letters(plain, self._plain)))
         self._known.update(zip(letters, self._encode_letters(letters)))
         self._known.update(zip(rest, self._encode(rest)))
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+    def _encode(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        encoded = (tokenizer or self._tokenizer).encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
-        whole = self._encode([" ".join(words)])[0]
+    def _encode_letters(self, words: list[str], tokenizer=None) -> list[bytes]:
+        whole = self._encode([" ".join(words)], tokenizer)[0]
         ends = 4 * (np.flatnonzero(self._ends_unit[np.frombuffer(whole, "<u4")]) + 1)
         if len(ends) != len(words):
             return self._encode(words)
@@ -162,7 +175,7 @@ def words_of(text: str) -> list[str]:
         except UnicodeEncodeError:
             pass
         else:
-            text = _MARK.sub(" \\g<0>", text.lower())
+            text = _MARKS.sub(" \\g<0>", text.lower())
     return text.replace("\n", " ").replace("\t", " ").split(" ")
 
 

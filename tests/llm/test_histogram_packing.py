@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from linkloom.llm.histogram_packing import (
-    Tokens, cut_documents, ids_in_order, pack_by_histogram, shortest_pack_first, slices, slots, tokens_of,
+    Tokens, cut_documents, ids_in_order, pack_by_histogram, shortest_pack_first, slices, slots, tokens_of, words_of,
 )
 
 SCHEMA = "doc_id long, text string, length string, `rank` int, block int"
@@ -82,6 +82,16 @@ def test_ids_are_those_of_whole_texts(tokenizer):
             assert [np.frombuffer(got[i], "<u4").tolist() for i in range(len(texts))] == expected
 
 
+def test_marks_after_words_are_units_of_their_own(tokenizer):
+    assert words_of("Pour*** été$$$\nthe.") == ["pour", "***", "été", "$$$", "the", "."]
+    assert words_of("it's. a'. b.'s c*d") == ["it's", ".", "a'.", "b.'s", "c*d"]
+    draw, tokens = random.Random(5), Tokens()
+    ends = [*"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~", "***", ".'s", "'s", "'.", "é", "ª", "µ", "4", "\x85", " ", "\t", "\n", ""]
+    for _ in range(200):
+        text = "".join(draw.choice(["the", "Été", "à", "ÿx", "ß"]) + draw.choice(ends) + draw.choice(ends) + draw.choice(ends) for _ in range(20))
+        assert np.frombuffer(tokens([text])[0], "<u4").tolist() == whole(tokenizer, text)
+
+
 def test_forgetting_words_changes_nothing(tokenizer, monkeypatch):
     monkeypatch.setattr("linkloom.llm.histogram_packing.REMEMBERED", 5)
     tokens = Tokens()
