@@ -42,7 +42,7 @@ def write_markdown_tree(documents: DataFrame, directory: str = "") -> DataFrame:
     ``documents`` is a result of ``convert`` or of ``sync``; rows without content
     are passed over. Paths lie below ``directory``, when it is given. On a cluster
     that must be a place that all executors share, as a URI or as a path in Spark's
-    default file system. A name that cannot be
+    default file system. A name that is null or cannot be
     written is that document's error and ends nothing. A file is written under
     another name in its folder and then moved, so a task that is run again leaves
     whole files only.
@@ -76,6 +76,8 @@ def write_markdown_tree(documents: DataFrame, directory: str = "") -> DataFrame:
             errors = []
             for name, content in zip(batch["name"], batch["content"]):
                 try:
+                    if not name.is_valid:
+                        raise ValueError("it has no name")
                     put(below + name.as_py(), content)
                     errors.append(None)
                 except (OSError, ValueError, pa.ArrowException) as failure:

@@ -204,6 +204,18 @@ def test_trees_lie_where_spark_looks_for_them(spark, tmp_path):
         assert shown(tree) == {"a b": f"{n}"}
 
 
+def test_documents_without_a_name_are_errors_of_their_rows(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "lost"), ("wiki/a.md", "kept"), (None, None)], "path string, content string")
+    failed = [(None, "failed to write file: it has no name")]
+    told = markdown_tree.write_markdown_tree(docs, str(tmp_path / "plain")).collect()
+    assert [tuple(r) for r in told if r.error] == failed and [r.path for r in told if not r.error] == ["wiki/a.md"]
+    tree = markdown_tree.MarkdownTree(spark, str(tmp_path / "tree"))
+    assert [tuple(r) for r in tree.publish(docs).collect() if r.error] == failed
+    assert shown(tree) == {"a": "kept"}
+    tree.publish(docs, whole=True)
+    assert shown(tree) == {"a": "kept"}
+
+
 def test_names_that_cannot_be_written_are_errors_of_their_rows(spark, tmp_path):
     cut = "é".encode()[:1]
     names = [b"x" * 252 + b".md", "é".encode() * 126 + b".md", b"y" * 256 + b".md", b"a/" + cut + b"/z.md", b"file", b"file/in.md"]
