@@ -79,21 +79,29 @@ def line_keys(docs: DataFrame, text: str, doc: str, depth: int, least_tokens: in
     return shown.select("doc", "key", "place", line.alias("line"), leaf_of(F.col("line"), depth).alias("leaf"), n.alias("n"))
 
 
-def _first_texts(docs: DataFrame, text: str, doc: str, keyed: DataFrame, open_lines: DataFrame) -> DataFrame:
-    """``open_lines(line, leaf, n_docs)`` with their tokens, read at each line's first place.
+def _open_texts(docs: DataFrame, text: str, doc: str, once: DataFrame, varied: DataFrame) -> DataFrame:
+    """``(key, text, wanted)``: every text of ``once(line, leaf, key, doc, place)``, with its lines to read.
 
-    Only documents that hold such a first place are searched.
+    ``wanted`` holds ``(place, line)`` of the lines of the leaves ``varied`` that are read
+    in this text, null for none; each line is read in one text. Texts are joined with their
+    keys by shuffling both, since those keys are too many to be sent to all tasks, and move only
+    here: whatever is wanted of them later comes from these rows. Repeated rows come out repeated.
     """
-    places = keyed.join(open_lines.select("line"), "line").groupBy("line").agg(F.min(F.struct("doc", "key", "place")).alias("first"))
-    wanted = places.groupBy("first.doc", "first.key").agg(F.collect_list(F.struct("first.place", "line")).alias("wanted"))
-    wanted = wanted.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "wanted").hint("shuffle_hash")
+    places = once.join(varied, "leaf", "left_semi").groupBy("line").agg(F.min(F.struct("key", "place")).alias("first"))
+    lines = places.groupBy("first.key").agg(F.collect_list(F.struct("first.place", "line")).alias("wanted"))
+    wanted = once.groupBy("key").agg(F.min("doc").alias("_doc")).join(lines, "key", "left")
+    wanted = wanted.select("_doc", F.col("key").alias("_key"), "wanted").hint("shuffle_hash")
     body = F.col(f"`{text}`")
     rows = docs.select(F.col(f"`{doc}`").alias("doc"), text_key(body).alias("key"), body.alias("text"))
-    found = rows.join(wanted, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")))
+    return rows.join(wanted, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))).select("key", "text", "wanted")
+
+
+def _line_tokens(open_texts: DataFrame, open_lines: DataFrame) -> DataFrame:
+    """``open_lines(line, leaf, n_docs)`` with their tokens, from ``open_texts(text, wanted)``."""
     def at_places(lines: Column) -> Column:
         return F.transform("wanted", lambda w: F.struct(w["line"].alias("line"), F.get(lines, w["place"]).alias("raw")))
 
-    each = found.select(F.explode(_split_once(F.col("text"), at_places)).alias("x"))
+    each = open_texts.filter(F.col("wanted").isNotNull()).select(F.explode(_split_once(F.col("text"), at_places)).alias("x"))
     one = each.groupBy("x.line").agg(F.first("x.raw").alias("raw"))  # repeated rows give a line more than once
     return one.join(open_lines, "line").select("line", "leaf", "n_docs", F.split(masked(F.col("raw")), " ").alias("tokens"))
 
@@ -105,18 +113,20 @@ def recurring_lines(docs: DataFrame, text: str, doc: str, keyed: DataFrame, run:
     near-equal texts counts once for a template it repeats. Counting combines before
     each shuffle, so a line of all documents costs no more than a rare one.
     """
-    body = F.col(f"`{text}`")
     short = F.col("n") < least_tokens
-    by_text = run.keep(keyed.groupBy("line", "leaf", "n", "key").agg(F.lit(1).alias("one")).drop("one"), "by_text")
+    # Documents of one key hold one text, so any of them and any of the line's places will do to read it.
+    by_text = run.keep(keyed.groupBy("line", "leaf", "n", "key").agg(F.min("doc").alias("doc"), F.min("place").alias("place")), "by_text")
     # Only lines of a leaf that enough texts reach can recur, and only their texts have to be told apart.
     lines = by_text.groupBy("line", "leaf", "n").agg(F.count("*").alias("n_texts"))
     lines = run.keep(lines, "lines")
-    leaves = lines.filter(~short).groupBy("leaf").agg(F.sum("n_texts").alias("n")).filter(F.col("n") >= least_docs).select("leaf")
-    long_enough = lines.filter(~short).join(leaves, "leaf", "left_semi").select("line")
+    leaves = lines.filter(~short).groupBy("leaf").agg(F.sum("n_texts").alias("n"), F.count("*").alias("n_lines")).filter(F.col("n") >= least_docs)
+    leaves = run.keep(leaves, "leaves")
+    long_enough = lines.filter(~short).join(leaves.select("leaf"), "leaf", "left_semi").select("line")
     open_keys = run.keep(long_enough.union(lines.filter(short & (F.col("n_texts") >= short_docs)).select("line")), "open_lines")
     once = run.keep(by_text.join(open_keys, "line", "left_semi"), "once")
-    texts = docs.select(text_key(body).alias("key"), body.alias("text"))
-    near = near_classes(texts, run, only=run.keep(once.select("key").distinct(), "open_keys"))
+    varied = leaves.filter("n_lines > 1").select("leaf")
+    open_texts = run.keep(_open_texts(docs, text, doc, once, varied), "open_texts")
+    near = near_classes(open_texts.select("key", "text"), run)
     held = run.keep(once.join(near, "key", "left").select("line", "leaf", "n", F.coalesce("root", "key").alias("class")).distinct(), "held")
     counted = run.keep(held.groupBy("line", "leaf", "n").agg(F.count("*").alias("n_docs")), "counted")
     same = counted.filter(F.col("n_docs") >= F.when(short, short_docs).otherwise(least_docs)).select("line")
@@ -124,7 +134,7 @@ def recurring_lines(docs: DataFrame, text: str, doc: str, keyed: DataFrame, run:
     long_lines = counted.filter(~short)
     leaves = long_lines.groupBy("leaf").agg(F.sum("n_docs").alias("n_docs"), F.count("*").alias("n")).filter((F.col("n_docs") >= least_docs) & (F.col("n") > 1))
     open_lines = run.keep(long_lines.join(leaves.select("leaf"), "leaf", "left_semi").select("line", "leaf", "n_docs"), "open")
-    texts = run.keep(_first_texts(docs, text, doc, keyed, open_lines), "open_texts")
+    texts = run.keep(_line_tokens(open_texts, open_lines), "line_tokens")
     places = texts.select("line", "leaf", "n_docs", F.posexplode("tokens").alias("place", "token"))
     tokens = run.keep(places.groupBy("leaf", "place", "token").agg(F.sum("n_docs").alias("n")), "tokens")
     templates = run.keep(_common_template(texts, tokens).union(_recurring_templates(texts, places, tokens, least_docs)), "templates")
