@@ -72,9 +72,11 @@ def line_keys(docs: DataFrame, text: str, doc: str, depth: int, least_tokens: in
     """
     body = F.col(f"`{text}`")
     lines = docs.select(F.col(f"`{doc}`").alias("doc"), text_key(body).alias("key"), F.posexplode(F.split(body, "\n", -1)).alias("place", "raw"))
-    shown = lines.select("doc", "key", "place", "raw", masked(F.col("raw")).alias("line")).filter("line <> ''")
+    bare = F.btrim("raw", F.lit(BLANKS))
+    # A filter by the masked line, which is blank where the raw one is, would mask every line twice.
+    shown = lines.filter(bare != "").select("doc", "key", "place", "raw", masked(F.col("raw")).alias("line"))
     n = n_tokens(F.col("line"))
-    whole = F.regexp_replace(F.btrim("raw", F.lit(BLANKS)), _BLANK_RUN, " ")
+    whole = F.regexp_replace(bare, _BLANK_RUN, " ")
     line = F.when(n < least_tokens, F.xxhash64(F.lit("short"), whole)).otherwise(F.xxhash64("line"))
     return shown.select("doc", "key", "place", line.alias("line"), leaf_of(F.col("line"), depth).alias("leaf"), n.alias("n"))
 

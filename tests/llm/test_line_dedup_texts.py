@@ -44,3 +44,9 @@ def test_lines_of_rows_without_an_id_and_of_repeated_rows_are_read(spark):
     changed, _ = line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     wanted = [(d, t and t.split("\n")[0]) for d, t in rows]
     assert sorted(map(str, ((r.doc_id, r.text) for r in changed.collect()))) == sorted(map(str, wanted))
+
+
+def test_blank_lines_are_left_out(spark):
+    text = "one two three four five\n\n \n\t \x0b\f\r\n  7 up \n\u00a0"
+    keyed = line_dedup.line_keys(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), "text", "doc_id", 4, 5)
+    assert sorted((r.doc, r.place, r.n) for r in keyed.collect()) == [(1, 0, 5), (1, 4, 2), (1, 5, 1)]
