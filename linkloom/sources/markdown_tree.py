@@ -3,32 +3,158 @@
 Files written one by one are never all old or all new. ``MarkdownTree`` is for readers
 that must not see that: files of a new version lie beside the old ones, a manifest
 says which file a path has, and the manifest counts once it is committed.
+
+Trees have as many files as documents, so the driver never lists them: tasks list folders,
+or take names from the manifest, and open the files.
 """
 
+import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.operators.storage import Commits, RunFolder, located
+from linkloom.operators.storage import Commits, RunFolder, existing, located
+
+#: Files that a task opens; folders that a task lists.
+FILES_PER_TASK, FOLDERS_PER_TASK = 4096, 1024
+#: Names and bytes of a batch that a task hands on.
+BATCH_NAMES, BATCH_BYTES = 4096, 1 << 22
+#: Parts of a path that Spark's file sources see: none is empty or begins with a dot, or, without an
+#: equals sign, with an underscore; of folders a few more.
+_FOLDER = r"(?:(?!\.|_(?!(?:common_)?metadata|[^/]*=)|(?!_(?:common_)?metadata)[^/]*\._COPYING_(?:/|\z))[^/]+)"
+_FOLDERS = rf"\A{_FOLDER}(?:/{_FOLDER})*\z"
+_FILES = rf"\A(?:{_FOLDER}/)*(?!\.|_(?![^/]*=))[^/]*\.md\z"
+_FOUND = "root string, place string, name binary, folder boolean"
 
 
 def read_markdown_tree(spark: SparkSession, directory: str) -> DataFrame:
-    """``(path, content)`` of every ``.md`` file below a directory.
+    """``(path, content)`` of every ``.md`` file below a directory, which may be a pattern.
 
-    For trees of ordinary size; keep very large ones as a document table.
+    Hidden names and empty files are passed over, as by Spark's own readers. The names are
+    listed when this is called, level by level, a folder in one task.
     """
-    return (
-        spark.read.format("binaryFile")
-        .options(recursiveFileLookup=True, pathGlobFilter="*.md")
-        .load(directory)
-        .select(
-            F.regexp_replace("path", r"\Afile:/+", "/").alias("path"),
-            F.col("content").cast("string").alias("content"),
-        )
+    found = existing(spark, directory)
+    if not found:
+        return spark.read.format("binaryFile").load(directory)  # tells that it is not there
+    run, name = RunFolder(spark, "listed"), F.col("name").cast("string")
+    rows = [(root, place, b"", True) if folder else (*_parted(root, place), False) for root, place, folder in found]
+    level, levels = run.keep(spark.createDataFrame(rows, _FOUND), "level_0"), 1
+    while folders := level.filter("folder").count():
+        below = _inside(_spread(level.filter("folder"), folders, FOLDERS_PER_TASK))
+        seen = F.when(F.col("folder"), name.rlike(_FOLDERS)).otherwise(name.rlike(_FILES))
+        level, levels = run.keep(below.filter(seen), f"level_{levels}"), levels + 1
+    files = spark.read.schema(_FOUND).parquet(*(f"{run.path}/level_{n}" for n in range(levels))).filter("NOT folder")
+    path = F.concat(F.rtrim("root", F.lit("/")), F.lit("/"), name)
+    files = files.filter(name.rlike(_FILES)).select(
+        F.regexp_replace(path, r"\Afile:/+", "/").alias("path"), "place", "name"
     )
+    return _texts(files if len(found) == 1 else files.dropDuplicates(["path"]))
+
+
+def _parted(root: str, place: str) -> tuple[str, str, bytes]:
+    """Folder, its URI, and name of a file."""
+    folder, _, name = root.rpartition("/")
+    return folder, place.rpartition("/")[0] + "/", name.encode()
+
+
+def _spread(rows: DataFrame, n: int, per_task: int) -> DataFrame:
+    """``n`` narrow rows dealt to all cores, and at most ``per_task`` or so to a task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(min(n, cores), -(-n // per_task), 1))
+
+
+def _stores() -> Callable[[str], tuple]:
+    """A function that gives the store of a URI, and its path there with a slash behind; stores are opened once."""
+    places: dict[str, tuple] = {}
+
+    def opened(place: str) -> tuple:
+        from pyarrow import fs
+
+        if place not in places:
+            system, root = fs.FileSystem.from_uri(place)
+            places[place] = system, root.rstrip("/").encode() + b"/"
+        return places[place]
+
+    return opened
+
+
+def _inside(folders: DataFrame) -> DataFrame:
+    """What lies in folders, by name below the root."""
+    opened = _stores()
+
+    def entries(system, folder: bytes) -> Iterator[tuple[bytes, bool]]:
+        from pyarrow import fs
+
+        if isinstance(system, fs.LocalFileSystem):  # one name at a time
+            try:
+                with os.scandir(folder) as found:
+                    yield from ((e.name, e.is_dir()) for e in found if e.is_dir() or e.is_file())
+            except FileNotFoundError:
+                pass  # gone since it was listed
+        else:
+            for info in system.get_file_info(fs.FileSelector(folder.decode(), allow_not_found=True)):
+                yield info.base_name.encode(), info.type == fs.FileType.Directory
+
+    def batch(root: str, place: str, found: list[tuple[bytes, bool]]) -> pa.RecordBatch:
+        names, kinds = zip(*found)
+        columns = [pa.array([root] * len(found)), pa.array([place] * len(found)), pa.array(names, pa.binary()), pa.array(kinds)]
+        return pa.RecordBatch.from_arrays(columns, names=["root", "place", "name", "folder"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for root, place, name in zip(*(rows[c].to_pylist() for c in ("root", "place", "name"))):
+                system, below = opened(place)
+                found: list[tuple[bytes, bool]] = []
+                for entry, folder in entries(system, below + name):
+                    found.append((name + b"/" + entry if name else entry, folder))
+                    if len(found) == BATCH_NAMES:
+                        yield batch(root, place, found)
+                        found = []
+                if found:
+                    yield batch(root, place, found)
+
+    return folders.mapInArrow(run, _FOUND)
+
+
+def _texts(files: DataFrame, lost: bool = False) -> DataFrame:
+    """``(path, content)`` of ``files(path, place, name)`` that are not empty, opened by tasks.
+
+    A file that is not there ends the run, unless it may be ``lost``.
+    """
+    opened = _stores()
+
+    def batch(texts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*texts)], names=["path", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[tuple[bytes, bytes]] = []
+        size = 0
+        for names in batches:
+            for path, place, name in zip(*(names[c].to_pylist() for c in ("path", "place", "name"))):
+                system, below = opened(place)
+                try:
+                    with system.open_input_file(below + name) as file:
+                        content = file.read()
+                except FileNotFoundError:
+                    if not lost:
+                        raise
+                    continue
+                if content:
+                    texts.append((path, content))
+                    size += len(content)
+                if size >= BATCH_BYTES or len(texts) == BATCH_NAMES:
+                    yield batch(texts)
+                    texts, size = [], 0
+        if texts:
+            yield batch(texts)
+
+    # As in writing, names travel as bytes.
+    names = files.select(F.col("path").cast("binary"), "place", F.col("name").cast("binary"))
+    rows = _spread(names, files.count(), FILES_PER_TASK).mapInArrow(run, "path binary, content binary")
+    return rows.select(*(F.col(c).cast("string").alias(c) for c in ("path", "content")))
 
 
 def write_document_table(documents: DataFrame, path: str, mode: str = "overwrite") -> None:

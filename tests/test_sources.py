@@ -4,6 +4,7 @@ import csv
 import os
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from linkloom.operators import storage
 from linkloom.sources import csv_files, markdown_tree, snapshots
@@ -204,6 +205,40 @@ def test_trees_lie_where_spark_looks_for_them(spark, tmp_path):
         assert shown(tree) == {"a b": f"{n}"}
 
 
+def files_the_driver_knows(df):
+    return [f for f in df.inputFiles() if f.endswith(".md")]
+
+
+def test_plain_trees_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    names = [f"{n % 7}/{n % 3}/{n}.md" for n in range(200)] + ["top.md", "deep/a/b/c/d/e.md", "new\nline.md", "p%20 [q].md"]
+    hidden = ["_a.md", ".b.md", "_sub/x.md", ".h/x.md", "x._COPYING_/e.md", "note.txt", "UP.MD"]
+    seen = ["_x=1.md", "_s=b/x.md", "_metadata/a.md"]
+    docs = spark.createDataFrame([(n, n) for n in names + hidden + seen] + [("empty.md", "")], "path string, content string")
+    root = tmp_path / "tree"
+    assert markdown_tree.write_markdown_tree(docs, str(root)).filter("error IS NOT NULL").count() == 0
+    (root / "broken.md").symlink_to(tmp_path / "nowhere")
+    for step in ("BATCH_NAMES", "BATCH_BYTES", "FILES_PER_TASK", "FOLDERS_PER_TASK"):  # batches and tasks of a few
+        monkeypatch.setattr(markdown_tree, step, 5)
+    read = markdown_tree.read_markdown_tree(spark, f"file://{root}/")
+    assert files_the_driver_knows(read) == []
+    assert sorted(tuple(r) for r in read.collect()) == sorted((f"{root}/{n}", n) for n in names + seen)
+    some = markdown_tree.read_markdown_tree(spark, f"{root}/{{top.md,deep*,deep/a}}")
+    assert sorted(r.content for r in some.collect()) == ["deep/a/b/c/d/e.md", "top.md"]
+    assert [r.content for r in markdown_tree.read_markdown_tree(spark, f"{root}/_sub").collect()] == ["_sub/x.md"]
+    (tmp_path / "nothing").mkdir()
+    assert markdown_tree.read_markdown_tree(spark, str(tmp_path / "nothing")).collect() == []
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        markdown_tree.read_markdown_tree(spark, str(tmp_path / "none"))
+
+
+def test_a_file_gone_since_it_was_listed_ends_the_run(spark, tmp_path):
+    markdown_tree.write_markdown_tree(documents(spark, a="1", b="2"), str(tmp_path))
+    read = markdown_tree.read_markdown_tree(spark, str(tmp_path))
+    (tmp_path / "wiki/a.md").unlink()
+    with pytest.raises(Exception, match="a.md"):
+        read.collect()
+
+
 def test_documents_without_a_name_are_errors_of_their_rows(spark, tmp_path):
     docs = spark.createDataFrame([(None, "lost"), ("wiki/a.md", "kept"), (None, None)], "path string, content string")
     failed = [(None, "failed to write file: it has no name")]
