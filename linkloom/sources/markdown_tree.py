@@ -277,17 +277,12 @@ class MarkdownTree:
     def read(self) -> DataFrame:
         """``(path, content)`` of the last version, as ``sync`` takes it.
 
-        Only folders of versions that still have files in use are listed.
+        Files are opened by their names in the manifest. Names and files that
+        ``read_markdown_tree`` passes over are passed over.
         """
-        manifest = self.manifest()
-        folders = [r[0] for r in manifest.select(F.substring_index("file", "/", 1)).distinct().collect()]
-        if not folders:
-            return self.spark.createDataFrame([], "path string, content string")
-        found = (
-            self.spark.read.format("binaryFile")
-            .options(recursiveFileLookup=True, pathGlobFilter="*.md")
-            .load([f"{self.directory}/files/{folder}" for folder in folders])
-        )
-        file = F.regexp_extract("path", r"/files/(v[0-9]+_[0-9a-f]{32}/.*)", 1)
-        texts = found.select(file.alias("file"), F.col("content").cast("string").alias("content"))
-        return manifest.select("path", "file").join(texts, "file").select("path", "content")
+        file = F.col("file")
+        # Names with line breaks never came back.
+        seen = self.manifest().filter(file.rlike(_FILES) & file.rlike(r"\A.*\z"))
+        found = existing(self.spark, f"{self.directory}/files")
+        place = found[0][1] if found else ""
+        return _texts(seen.select("path", F.lit(place).alias("place"), file.alias("name")), lost=True)

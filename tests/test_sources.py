@@ -239,6 +239,17 @@ def test_a_file_gone_since_it_was_listed_ends_the_run(spark, tmp_path):
         read.collect()
 
 
+def test_versions_are_read_by_the_names_in_the_manifest(spark, tmp_path):
+    tree = markdown_tree.MarkdownTree(spark, f"file://{tmp_path}")
+    tree.publish(documents(spark, **{f"{n % 7}/{n}": f"old {n}" for n in range(200)}, empty="", **{"_hidden": "x", "/twice": "x"}))
+    tree.publish(documents(spark, **{f"{n % 7}/{n}": f"new {n}" for n in range(0, 200, 2)}))
+    (tmp_path / "files/stray").mkdir()
+    (tmp_path / "files/stray/x.md").write_text("in no version")
+    next((tmp_path / "files").glob("v2_*/wiki/0/0.md")).unlink()
+    assert files_the_driver_knows(tree.read()) == []
+    assert shown(tree) == {f"{n % 7}/{n}": f"{'old' if n % 2 else 'new'} {n}" for n in range(1, 200)}
+
+
 def test_documents_without_a_name_are_errors_of_their_rows(spark, tmp_path):
     docs = spark.createDataFrame([(None, "lost"), ("wiki/a.md", "kept"), (None, None)], "path string, content string")
     failed = [(None, "failed to write file: it has no name")]
