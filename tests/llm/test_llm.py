@@ -53,6 +53,8 @@ def tables(spark, tmp_path_factory):
         inf = float("inf")
         vectors = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (20, [0.5, inf]), (40, [1.0, 0.0]), (None, [1.0, 1.0]), (5, [1.0, None]), (6, [1.0])]
         spark.createDataFrame(vectors if name == "odd" else [], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+        turns = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, None, None, ""), (2, 0, "tool", PROSE), (2, 0, "tool", PROSE), (None, 1, "user", "x"), (3, 7, "", "y")]
+        spark.createDataFrame(turns if name == "odd" else [], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
         made[name] = folder
     return made
 
